@@ -4,9 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegrid.operators import units
+from tastegrid.operators import drift, units
 from tastegrid.sources.tables import table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.common_quantities(table(spark, sf_dir, "price_quotes"), table(spark, sf_dir, "exchange_rates"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.schema_changes(table(spark, sf_dir, "export_files"), table(spark, sf_dir, "export_records"))
+
+
+def p1_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = drift.cells(table(spark, sf_dir, "export_files"), table(spark, sf_dir, "export_records"))
+    return drift.lifespans(drift.field_catalogue(data))
+
+
+def p1_consistent_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.consistent_table(table(spark, sf_dir, "export_files"), table(spark, sf_dir, "export_records"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_lifespans": p1_lifespans,
+    "p1_consistent_table": p1_consistent_table,
+    "p4_found": p4_found,
+}
