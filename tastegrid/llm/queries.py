@@ -3,10 +3,69 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tastegrid.llm import tokenization
+from tastegrid.llm import terms, tokenization
 from tastegrid.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = terms.record_models(table(spark, sf_dir, "raw_reviews"), "blind_assessment", "review_id")
+    return terms.best_terms(scored, "score").withColumnRenamed("record", "review_id")
+
+
+def p2_parsimonious(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = terms.record_models(table(spark, sf_dir, "raw_reviews"), "blind_assessment", "review_id")
+    return terms.best_terms(scored, "probability").withColumnRenamed("record", "review_id")
+
+
+def p5_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_frequencies(table(spark, sf_dir, "raw_reviews"), ["blind_assessment", "notes"], "review_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_frequencies(spark, sf_dir).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_parsimonious": p2_parsimonious,
+    "p5_found": p5_found,
+    "p5_frequencies": p5_frequencies,
+    "p7_ids": p7_ids,
+}
+
+_TERMS = """
+texts AS (
+    SELECT DISTINCT 'blind_assessment' AS field_name, review_id, blind_assessment AS text FROM raw_reviews
+    UNION ALL SELECT DISTINCT 'notes', review_id, notes FROM raw_reviews
+),
+uses AS (
+    SELECT field_name, review_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM texts
+),
+alls AS (SELECT field_name, count(DISTINCT review_id) AS all_records FROM uses GROUP BY 1),
+counted AS (
+    SELECT field_name, term, count(*) AS uses, count(DISTINCT review_id) AS records FROM uses GROUP BY 1, 2
+)"""
+
+_MARK = "CASE WHEN records <= 2 THEN 'rare' WHEN records > all_records * 0.2 THEN 'common' END"
+
+ORACLE_SQL = {
+    "p2_found": f"""WITH {_TERMS},
+own AS (SELECT review_id, term, count(*) AS c FROM uses WHERE field_name = 'blind_assessment' GROUP BY 1, 2),
+ranked AS (
+    SELECT review_id, term, row_number() OVER (
+        PARTITION BY review_id ORDER BY c * (ln((1.0 + all_records) / (1.0 + records)) + 1.0) DESC, term) AS place
+    FROM own JOIN counted USING (term) JOIN alls USING (field_name)
+    WHERE field_name = 'blind_assessment' AND records >= 2
+)
+SELECT review_id, term FROM ranked WHERE place <= 3""",
+    "p5_found": f"""WITH {_TERMS}, marked AS (SELECT field_name, term, {_MARK} AS mark FROM counted JOIN alls USING (field_name))
+SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL""",
+    "p5_frequencies": f"""WITH {_TERMS}
+SELECT field_name, term, uses, records, all_records, {_MARK} AS mark FROM counted JOIN alls USING (field_name)""",
+}
