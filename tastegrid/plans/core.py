@@ -31,3 +31,5 @@ QUERIES = {
     "p1_consistent_table": p1_consistent_table,
     "p4_found": p4_found,
 }
+
+ORACLE_SQL: dict[str, str] = {}
