@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import terms, tokenization
+from tastegrid.llm import canonical, terms, tokenization
 from tastegrid.sources.tables import table
 
 
@@ -27,6 +27,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_frequencies(spark, sf_dir).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
+def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.canonical_references(
+        table(spark, sf_dir, "processed_reviews"),
+        table(spark, sf_dir, "canonical_values"),
+        ["coffee_origin_country", "price_currency"],
+        "review_id",
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _p6(spark, sf_dir).select(F.col("record").alias("review_id"), "field_name", "ref_id")
+    return found.distinct()
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.unmatched_values(_p6(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -36,6 +54,8 @@ QUERIES = {
     "p2_parsimonious": p2_parsimonious,
     "p5_found": p5_found,
     "p5_frequencies": p5_frequencies,
+    "p6_found": p6_found,
+    "p6_unmatched": p6_unmatched,
     "p7_ids": p7_ids,
 }
 
