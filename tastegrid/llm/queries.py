@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import canonical, terms, tokenization
+from tastegrid.llm import canonical, contamination, terms, tokenization
 from tastegrid.sources.tables import table
 
 
@@ -49,6 +49,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leak_report(p8_found(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_parsimonious": p2_parsimonious,
@@ -57,6 +65,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_unmatched": p6_unmatched,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 
 _TERMS = """
