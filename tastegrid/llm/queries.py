@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import canonical, contamination, terms, tokenization
+from tastegrid.llm import canonical, contamination, subjects, terms, tokenization
 from tastegrid.sources.tables import table
 
 
@@ -57,6 +57,12 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leak_report(p8_found(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.document_subjects(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects")
+    )
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_parsimonious": p2_parsimonious,
@@ -67,6 +73,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p9_found": p9_found,
 }
 
 _TERMS = """
