@@ -191,13 +191,13 @@ def _fit_sentences(model: SubjectModel, texts: list[str | None], y: np.ndarray)
     of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
     owner = np.array(owner)
     other = np.full((len(y), OTHER_TOPICS), 0.5)
-    first = np.concatenate([np.where(y > 0, 1.0, IN_PASSING / 20), other], axis=1)[owner]
+    first = np.concatenate([np.where(y > 0, 1.0, 1e-30), other], axis=1)[owner]
     later = np.concatenate([np.where(y > 0, 1.0, IN_PASSING), other], axis=1)[owner]
     p = first * np.random.default_rng(0).uniform(0.2, 1.0, first.shape)
     p /= p.sum(axis=1, keepdims=True)
     prior = np.full(k, 1 / k)
     for turn in range(EM_ROUNDS):
-        allowed = first if turn < EM_ROUNDS // 2 else later
+        allowed = first if turn < EM_ROUNDS - 3 else later
         share = np.stack([np.bincount(flat, p[of, j], v) for j in range(k)], axis=1) + 0.02
         # A feature is there or not in a sentence; its share is that of a topic's sentences.
         model.log_share = np.log(share / (p.sum(axis=0) + 1.0))
