@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastegrid.llm import canonical, contamination, subjects, terms, tokenization
+from tastegrid.llm import canonical, contamination, resolution, subjects, terms, tokenization
 from tastegrid.sources.tables import table
 
 
@@ -19,6 +19,14 @@ def p2_parsimonious(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.best_terms(scored, "probability").withColumnRenamed("record", "review_id")
 
 
+def p3_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.resolve(table(spark, sf_dir, "roaster_names"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.linked_pairs(p3_companies(spark, sf_dir))
+
+
 def p5_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_frequencies(table(spark, sf_dir, "raw_reviews"), ["blind_assessment", "notes"], "review_id")
 
@@ -66,6 +74,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_parsimonious": p2_parsimonious,
+    "p3_found": p3_found,
+    "p3_companies": p3_companies,
     "p5_found": p5_found,
     "p5_frequencies": p5_frequencies,
     "p6_found": p6_found,
