@@ -22,6 +22,8 @@ COMMON_SHARE = 0.2
 #: A term in more than this share of the records is broadcast with its counts. If a record has at most t different
 #: terms on average, no more than t / HOT_SHARE terms can be so frequent; the others are joined.
 HOT_SHARE = 0.001
+#: So many counts of terms, some tens of megabytes, are broadcast as they are.
+BROADCAST_TERMS = 500_000
 #: Parsimonious model: weight of the record against the background, and rounds of expectation-maximisation.
 RECORD_WEIGHT = 0.1
 EM_ROUNDS = 30
@@ -41,53 +43,77 @@ def term_frequencies(df: DataFrame, fields: list[str], id_column: str, partition
     term in the field. mark is ``rare`` (in at most RARE_RECORDS records), ``common`` (in more than COMMON_SHARE of
     all_records), else null; a term that would be both is rare.
 
-    A record is an id. Rows with equal id and text count once; other rows of the same id add their uses to it. Rows
-    without an id are no record and are left out; null, empty and term-free texts have no terms; further columns are
-    ignored.
+    A record is an id. Repeated rows count once; where rows of one id differ, a term counts with its most uses in one
+    of them. Rows without an id are no record and are left out; null, empty and term-free texts have no terms;
+    further columns are ignored.
     """
-    named = df.where(F.col(id_column).isNotNull()).select(
-        F.col(id_column).alias("record"),
-        F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])),
-    )
-    copies = F.xxhash64("text").alias("copy")
-    pairs = named.select("field_name", F.posexplode(terms(F.col("text"))).alias("place", "term"), "record", copies)
-    order = ["field_name", "term", "record", "copy", "place"]
+    named = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("record"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fields)])
+    kind = named.schema["record"].dataType.simpleString()
+    words = named.select("record", *[terms(F.col(f"f{k}")).alias(f"f{k}") for k in range(len(fields))])
+    # The field's number leads the term, so that the key to sort by is one string.
+    pairs = words.mapInArrow(_pairs_of_rows, f"key string, record {kind}, uses int")
     parts = [partitions] if partitions else []
-    ordered = pairs.select(*order).repartitionByRange(*parts, *order[:3]).sortWithinPartitions(*order)
-    runs = ordered.mapInArrow(_count_runs, "field_name string, term string, uses bigint, records bigint")
-    counted = runs.groupBy("field_name", "term").agg(F.sum("uses").alias("uses"), F.sum("records").alias("records"))
-    whole = (
-        named.where(F.lower("text").rlike("[a-z]{3}"))
-        .groupBy("field_name")
-        .agg(F.count_distinct("record").alias("all_records"))
+    ordered = pairs.repartitionByRange(*parts, "key", "record").sortWithinPartitions("key", "record")
+    runs = ordered.mapInArrow(_count_runs, "key string, uses bigint, records bigint")
+    split = F.create_map(*[F.lit(x) for k, f in enumerate(fields) for x in (str(k), f)])
+    counted = (
+        runs.groupBy("key")
+        .agg(F.sum("uses").alias("uses"), F.sum("records").alias("records"))
+        .select(F.substring_index("key", " ", 1).alias("number"), F.substring_index("key", " ", -1).alias("term"), "uses", "records")
+        .select(F.try_element_at(split, "number").alias("field_name"), "term", "uses", "records")
     )
+    any_term = [F.count_distinct(F.when(F.lower(f"f{k}").rlike("[a-z]{3}"), F.col("record"))).alias(f) for k, f in enumerate(fields)]
+    whole = named.agg(*any_term).unpivot([], fields, "field_name", "all_records")
     mark = F.when(F.col("records") <= RARE_RECORDS, F.lit("rare")).when(
         F.col("records") > F.col("all_records") * COMMON_SHARE, F.lit("common")
     )
     return counted.join(F.broadcast(whole), "field_name").withColumn("mark", mark)  # one row a field
 
 
+def _row_terms(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The different terms of a batch, and owner, term and uses of each term of each row."""
+    flat = lists.flatten().dictionary_encode()
+    offsets = np.asarray(lists.offsets)
+    owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    n = max(len(flat.dictionary), 1)
+    pair, uses = np.unique(owner * n + flat.indices.to_numpy(), return_counts=True)
+    return flat.dictionary, pair // n, pair % n, uses
+
+
+def _pairs_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a record and its terms in each field to pairs of term and record."""
+    for batch in batches:
+        for k in range(1, batch.num_columns):
+            dictionary, owner, term, uses = _row_terms(batch.column(k))
+            keys = pc.binary_join_element_wise(pa.scalar(str(k - 1)), dictionary.cast(pa.string()), " ")
+            yield pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(term)), batch.column(0).take(pa.array(owner)), pa.array(uses.astype(np.int32))], ["key", "record", "uses"]
+            )
+
+
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of field, term, record, copy and place to counts of uses and records of each run of a term."""
-    last = None
+    """Sorted pairs to counts of uses and records of each run of a term; equal pairs are one with their most uses."""
+    open_: tuple | None = None  # the last pair, which the next batch may go on with
     for batch in batches:
         if not batch.num_rows:
             continue
-        fresh = []  # for each column: where it or a column before it differs from the row above
-        for k in range(batch.num_columns):
-            column = batch.column(k)
-            head = np.array([last is None or last[k] != column[0].as_py()])
-            below = pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-            here = np.concatenate([head, below])
-            fresh.append(here | fresh[-1] if fresh else here)
-        last = [batch.column(k)[-1].as_py() for k in range(batch.num_columns)]
-        starts = np.flatnonzero(np.concatenate([[True], fresh[1][1:]]))
-        count = lambda flags: pa.array(np.add.reduceat(flags.astype(np.int64), starts))
-        at = pa.array(starts)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(at), batch.column(1).take(at), count(fresh[4]), count(fresh[2])],
-            ["field_name", "term", "uses", "records"],
-        )
+        key, record = batch.column(0), batch.column(1)
+        uses = batch.column(2).to_numpy().astype(np.int64)
+        same_key = np.concatenate([[False], pc.equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)])
+        same_pair = np.concatenate([[False], pc.equal(record[1:], record[:-1]).to_numpy(zero_copy_only=False)]) & same_key
+        firsts = np.flatnonzero(~same_pair)
+        most = np.maximum.reduceat(uses, firsts)
+        starts = np.flatnonzero(~same_key[firsts])
+        used = np.add.reduceat(most, starts)
+        records = np.diff(np.append(starts, len(firsts)))
+        first = key[0].as_py(), record[0].as_py()
+        if open_ is not None and open_[:2] == first:  # one record across two batches
+            records[0] -= 1
+            used[0] += max(most[0], open_[2]) - open_[2] - most[0]
+            most[0] = max(most[0], open_[2])
+        open_ = key[-1].as_py(), record[-1].as_py(), int(most[-1])
+        at = pa.array(firsts[starts])
+        yield pa.RecordBatch.from_arrays([key.take(at), pa.array(used), pa.array(records.astype(np.int64))], ["key", "uses", "records"])
 
 
 def record_models(df: DataFrame, text_column: str, id_column: str) -> DataFrame:
