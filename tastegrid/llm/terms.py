@@ -116,7 +116,7 @@ def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([key.take(at), pa.array(used), pa.array(records.astype(np.int64))], ["key", "uses", "records"])
 
 
-def record_models(df: DataFrame, text_column: str, id_column: str) -> DataFrame:
+def record_models(df: DataFrame, text_column: str, id_column: str, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """record, terms ARRAY of term, uses, records, score, probability: how much each term marks its record among all.
 
     ``probability`` is the converged share of the term in the record's parsimonious language model: in each round of
@@ -125,37 +125,93 @@ def record_models(df: DataFrame, text_column: str, id_column: str) -> DataFrame:
     moves away from what the background explains. ``score`` is uses * (ln((1+n)/(1+records)) + 1) with the number n
     of records that have any term.
 
-    The text is shuffled once, by record. Counts of the frequent terms (HOT_SHARE) are broadcast, which joins most
-    pairs without a shuffle and keeps frequent terms out of the join by term, which takes the rest.
+    The text is shuffled once, by record. The counts of the terms are materialised, so that their number is known: up
+    to BROADCAST_TERMS of them are broadcast to where the records lie. Beyond that, those of the frequent terms
+    (HOT_SHARE) are broadcast, whose number is bounded, and the others are joined by term, which keeps frequent terms
+    out of that shuffle. Either way gives the same rows.
 
     A record is an id; equal rows count once, different texts of one id are one record. Rows without an id are left
     out; null, empty and term-free texts give no rows; further columns are ignored.
     """
     texts = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("record"), F.col(text_column).alias("text"))
-    texts = texts.repartition("record").distinct()
-    pairs = texts.select("record", F.explode(terms(F.col("text"))).alias("term")).groupBy("record", "term").agg(F.count("*").alias("uses"))
-    counts = checkpointed(pairs.groupBy("term").agg(F.sum("uses").alias("all_uses"), F.count("*").alias("records")))
-    n = texts.where(F.lower("text").rlike("[a-z]{3}")).agg(F.count_distinct("record").alias("n")).first()["n"]
-    total = counts.agg(F.sum("all_uses").alias("total")).first()["total"] or 1
-    limit = n * HOT_SHARE
-    hot, cold = counts.where(F.col("records") > limit), counts.where(F.col("records") <= limit)
+    whole = texts.groupBy("record").agg(F.collect_set("text").alias("texts"))
+    words = whole.select("record", F.flatten(F.transform("texts", terms)).alias("words"))
+    partial = words.mapInArrow(_partial_counts, "term string, all_uses bigint, records bigint")
+    counts = checkpointed(partial.groupBy("term").agg(F.sum("all_uses").alias("all_uses"), F.sum("records").alias("records")))
+    sizes = counts.agg(F.count("*").alias("terms"), F.sum("all_uses").alias("total"), F.max(F.when(F.col("term") == "", F.col("records"))).alias("n")).first()
+    n, total = sizes["n"] or 0, sizes["total"] or 1
+    kind = texts.schema["record"].dataType.simpleString()
+    schema = f"record {kind}, term array<string>, uses array<bigint>, records array<bigint>, probability array<double>"
+    if sizes["terms"] <= broadcast_terms:
+        rows = counts.where("term <> ''").toArrow()
+        modelled = words.mapInArrow(_known_terms(df.sparkSession.sparkContext.broadcast(rows), total), schema)
+    else:
+        modelled = _joined_entries(words, counts.where("term <> ''"), n).mapInArrow(_parsimonious(total), schema)
+
+    def scored(e: Column) -> Column:
+        score = e["uses"] * (F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + e["records"])) + F.lit(1.0))
+        return F.struct(e["term"].alias("term"), e["uses"].alias("uses"), e["records"].alias("records"), score.alias("score"), e["probability"].alias("probability"))
+
+    return modelled.select("record", F.transform(F.arrays_zip("term", "uses", "records", "probability"), scored).alias("terms"))
+
+
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records with their words to uses and records of each term of a batch; the empty term counts the records."""
+    for batch in batches:
+        dictionary, owner, term, uses = _row_terms(batch.column(1))
+        n = len(dictionary)
+        names = pa.concat_arrays([dictionary.cast(pa.string()), pa.array([""])])
+        used = np.append(np.bincount(term, uses, n).astype(np.int64), 0)
+        records = np.append(np.bincount(term, minlength=n), len(np.unique(owner)))
+        yield pa.RecordBatch.from_arrays([names, pa.array(used), pa.array(records)], ["term", "all_uses", "records"])
+
+
+def _joined_entries(words: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """record, entries: each record's terms with their uses and counts, by joins with the counts of all terms."""
+    pairs = words.select("record", F.explode("words").alias("term")).groupBy("record", "term").agg(F.count("*").alias("uses"))
+    hot, cold = counts.where(F.col("records") > n * HOT_SHARE), counts.where(F.col("records") <= n * HOT_SHARE)
     entry = F.collect_list(F.struct("term", "uses", "records", "all_uses"))
     frequent = pairs.join(F.broadcast(hot), "term").groupBy("record").agg(entry.alias("frequent"))
     seldom = pairs.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term").groupBy("record").agg(entry.alias("seldom"))
     empty = F.array().cast("array<struct<term:string,uses:bigint,records:bigint,all_uses:bigint>>")
-    records = frequent.join(seldom, "record", "full").select(
+    return frequent.join(seldom, "record", "full").select(
         "record", F.concat(F.coalesce("frequent", empty), F.coalesce("seldom", empty)).alias("entries")
     )
-    kind = records.schema["record"].dataType.simpleString()
-    modelled = records.mapInArrow(
-        _parsimonious(total), f"record {kind}, term array<string>, uses array<bigint>, records array<bigint>, probability array<double>"
-    )
 
-    def scored(e: Column) -> Column:
-        score = e["uses"] * (F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + e["records"])) + F.lit(1.0))
-        return F.struct(e["term"].alias("term"), e["uses"].alias("uses"), e["records"].alias("records"), score.alias("score"), e["probability"].alias("probability"))
 
-    return modelled.select("record", F.transform(F.arrays_zip("term", "uses", "records", "probability"), scored).alias("terms"))
+def _converged(owner: np.ndarray, n: int, uses: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """Each entry's share in the own model of its record after expectation-maximisation."""
+    own = uses / np.maximum(np.bincount(owner, uses, n), 1.0)[owner]
+    for _ in range(EM_ROUNDS):
+        inner = RECORD_WEIGHT * own
+        part = uses * inner / (inner + (1.0 - RECORD_WEIGHT) * background)
+        own = part / np.maximum(np.bincount(owner, part, n), 1e-300)[owner]
+    return own
+
+
+_ENTRY = ["record", "term", "uses", "records", "probability"]
+
+
+def _known_terms(shared, total: int):
+    """Batches of records with their words to batches with each term's converged probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.combine_chunks()
+        column = lambda name: table[name].chunk(0) if table[name].num_chunks else table[name].combine_chunks()
+        names, all_uses, all_records = column("term").cast(pa.string()), column("all_uses").to_numpy(), column("records").to_numpy()
+        for batch in batches:
+            dictionary, owner, term, uses = _row_terms(batch.column(1))
+            place = pc.index_in(dictionary.cast(pa.string()), names).to_numpy(zero_copy_only=False).astype(np.int64)[term] if len(term) else term
+            background = all_uses[place].astype(np.float64) / total
+            own = _converged(owner, batch.num_rows, uses.astype(np.float64), background)
+            bounds = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
+            as_list = lambda values: pa.ListArray.from_arrays(bounds, values)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), as_list(dictionary.cast(pa.string()).take(pa.array(term))), as_list(pa.array(uses.astype(np.int64))),
+                 as_list(pa.array(all_records[place])), as_list(pa.array(own))], _ENTRY
+            )
+
+    return run
 
 
 def _parsimonious(total: int):
@@ -166,21 +222,14 @@ def _parsimonious(total: int):
             lists = batch.column(1)
             flat = lists.flatten()
             offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            sizes = np.diff(offsets)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            uses = np.asarray(flat.field("uses"), dtype=np.float64)
+            owner = np.repeat(np.arange(len(lists)), np.diff(offsets))
             background = np.asarray(flat.field("all_uses"), dtype=np.float64) / total
-            own = uses / np.maximum(np.bincount(owner, uses, len(sizes)), 1.0)[owner]
-            for _ in range(EM_ROUNDS):
-                inner = RECORD_WEIGHT * own
-                part = uses * inner / (inner + (1.0 - RECORD_WEIGHT) * background)
-                own = part / np.maximum(np.bincount(owner, part, len(sizes)), 1e-300)[owner]
+            own = _converged(owner, len(lists), np.asarray(flat.field("uses"), dtype=np.float64), background)
             bounds = pa.array(offsets, pa.int32())
             as_list = lambda values: pa.ListArray.from_arrays(bounds, values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), as_list(flat.field("term").cast(pa.string())), as_list(flat.field("uses")),
-                 as_list(flat.field("records")), as_list(pa.array(own))],
-                ["record", "term", "uses", "records", "probability"],
+                 as_list(flat.field("records")), as_list(pa.array(own))], _ENTRY
             )
 
     return run
