@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The paper's suffixes and replacements of steps 2 to 4, in its order.
 STEP_2 = (
@@ -85,7 +86,7 @@ def stem(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_all(words: pd.Series) -> pd.Series:
     """Stems of the words of each row; a word is stemmed once a batch."""
     known: dict[str, str] = {}

@@ -69,7 +69,7 @@ def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(texts: pd.Series) -> pd.Series:
     """Letters without combining marks: compatibility decomposition, then marks dropped."""
     known: dict[str, str] = {}
@@ -84,7 +84,7 @@ def strip_accents(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def url_join(bases: pd.Series, links: pd.Series) -> pd.Series:
     """Absolute form of a link on a page."""
     return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(bases, links, strict=True)], dtype=object)

@@ -125,6 +125,22 @@ def key_pairs(keys: DataFrame, least: float = REVIEW) -> DataFrame:
     return candidates.mapInPandas(score, "core_a string, core_b string, score double")
 
 
+def _clusters(keyed: DataFrame) -> DataFrame:
+    """Adds cluster_size, cluster_id and canonical_name to raw_name, n_records and root."""
+    own = keyed.groupBy("root").agg(
+        F.min("raw_name").alias("least_name"), F.count("*").alias("cluster_size"), F.max(F.struct("n_records", F.length("raw_name").alias("len"))).alias("best")
+    )
+    best = keyed.join(own.select("root", "best"), "root").where((F.col("n_records") == F.col("best.n_records")) & (F.length("raw_name") == F.col("best.len")))
+    canonical = best.groupBy("root").agg(F.min("raw_name").alias("canonical_name"))
+    numbered = ranked(own, "least_name", name="place").select("root", (F.col("place") - 1).cast("int").alias("cluster_id"))
+    return keyed.join(own.select("root", "cluster_size"), "root").join(canonical, "root").join(numbered, "root")
+
+
+def exact_crosswalk(names: DataFrame, column: str) -> DataFrame:
+    """raw_name, n_records, core_key, cluster_size, canonical_name, cluster_id by equal keys alone."""
+    return _clusters(exact_clusters(names, column).withColumn("root", F.col("core_key"))).drop("root")
+
+
 def crosswalk(names: DataFrame, column: str, auto: float = AUTO, review: float = REVIEW) -> tuple[DataFrame, DataFrame]:
     """(crosswalk, review queue) of a column of names.
 
@@ -139,21 +155,15 @@ def crosswalk(names: DataFrame, column: str, auto: float = AUTO, review: float =
     scored = checkpointed(key_pairs(firsts.select("core_key"), review))
     roots = components(scored.where(F.col("score") >= auto).select(F.col("core_a").alias("a"), F.col("core_b").alias("b")))
     keyed = exact.join(roots.withColumnRenamed("node", "core_key"), "core_key", "left").withColumn("root", F.coalesce("root", "core_key"))
-    own = keyed.groupBy("root").agg(
-        F.min("raw_name").alias("least_name"), F.count("*").alias("cluster_size"),
-        F.max(F.struct("n_records", F.length("raw_name").alias("len"))).alias("best"),
-    )
-    best = keyed.join(own.select("root", "best"), "root").where((F.col("n_records") == F.col("best.n_records")) & (F.length("raw_name") == F.col("best.len")))
-    canonical = best.groupBy("root").agg(F.min("raw_name").alias("canonical_name"))
-    numbered = ranked(own, "least_name", name="place").select("root", (F.col("place") - 1).cast("int").alias("cluster_id"))
+    keyed = _clusters(keyed)
     members = keyed.select("root", "core_key").distinct()
     inner = members.alias("x").join(members.alias("y"), "root").where("x.core_key < y.core_key")
     inner = inner.select("root", F.col("x.core_key").alias("core_a"), F.col("y.core_key").alias("core_b"))
     worst = _scored(inner).groupBy("root").agg(F.min("score").alias("worst"))
     score = F.when(F.col("cluster_size") > 2, F.coalesce("worst", F.lit(100.0))).otherwise(F.lit(100.0))
-    table = (
-        keyed.join(own.select("root", "cluster_size"), "root").join(canonical, "root").join(numbered, "root").join(worst, "root", "left")
-        .select("raw_name", "n_records", "cluster_id", "canonical_name", "cluster_size", F.bround(score, 1).alias("min_internal_score"), (score < auto).alias("chain_risk"))
+    table = keyed.join(worst, "root", "left").select(
+        "raw_name", "n_records", "cluster_id", "canonical_name", "cluster_size",
+        F.bround(score, 1).alias("min_internal_score"), (score < auto).alias("chain_risk"),
     )
     open_ = scored.where(F.col("score") < auto)
     open_ = open_.join(firsts.select(F.col("core_key").alias("core_a"), F.col("first_name").alias("name_a")), "core_a")

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastegrid.functions.strings import url_join
 from tastegrid.operators.graph import reachable
@@ -17,7 +18,7 @@ _HIDDEN = frozenset(("script", "style"))
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 div table tr td th ul ol li".split())
 
 FIELDS = ("rating", "roaster", "title", "blind_assessment", "notes", "bottom_line")
-_RECORD = ", ".join(f"{f} string" for f in FIELDS) + ", extras map<string,string>"
+_RECORD = T.StructType([*(T.StructField(f, T.StringType()) for f in FIELDS), T.StructField("extras", T.MapType(T.StringType(), T.StringType()))])
 
 
 class Node:
@@ -164,7 +165,7 @@ def review_records(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     return parsed.select("url", "r.*")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def page_links(pages: pd.Series) -> pd.Series:
     """The href of each anchor of a page."""
     return pages.map(lambda p: None if p is None else [a.attributes["href"] for a in tree(p).all("a") if "href" in a.attributes])
