@@ -109,7 +109,8 @@ class SubjectModel:
         labels = np.zeros((n, 1, k))
         score = np.zeros((n, 1))
         for j in range(k):
-            z = self._link(features[:, j], labels, j)
+            # A subject needs three sentences; with fewer than two likely ones it isn't considered.
+            z = np.where(features[:, j, 2:3] > 0, self._link(features[:, j], labels, j), -50.0)
             yes, no = -np.logaddexp(0, -z), -np.logaddexp(0, z)
             both = np.concatenate([labels, labels], axis=1)
             both[:, labels.shape[1] :, j] = 1
@@ -201,9 +202,9 @@ def _fit_sentences(model: SubjectModel, texts: list[str | None], y: np.ndarray)
         share = np.stack([np.bincount(flat, p[of, j], v) for j in range(k)], axis=1) + 0.02
         # A feature is there or not in a sentence; its share is that of a topic's sentences.
         model.log_share = np.log(share / (p.sum(axis=0) + 1.0))
-        prior = p.sum(axis=0) / len(p)
+        prior = (p.sum(axis=0) + 0.01) / (len(p) + 0.01 * k)
         log_p = np.stack([np.bincount(of, model.log_share[flat, j], len(p)) for j in range(k)], axis=1)
-        log_p += np.log(allowed) + np.log(prior)
+        log_p += np.log(np.maximum(allowed, 1e-30)) + np.log(prior)
         log_p -= log_p.max(axis=1, keepdims=True)
         p = np.exp(log_p)
         p /= p.sum(axis=1, keepdims=True)
@@ -215,7 +216,7 @@ def training_rows(documents: DataFrame, labels: DataFrame) -> list[tuple[str | N
     named = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     drawn = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCUMENTS)
     texts = documents.select("doc_id", "text", "source").join(F.broadcast(drawn), "doc_id")  # at most TRAINING_DOCUMENTS ids
-    rows = texts.select("doc_id", "text", "source", "subjects").collect()
+    rows = texts.dropDuplicates(["doc_id"]).select("doc_id", "text", "source", "subjects").collect()
     rows.sort(key=lambda r: str(r.doc_id))
     return [(r.text, r.source, frozenset(r.subjects) - {NONE}) for r in rows]
 
