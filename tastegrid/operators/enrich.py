@@ -67,7 +67,7 @@ def per_pound(df: DataFrame) -> DataFrame:
 def iso_countries(spark: SparkSession) -> list[str]:
     """English names of the ISO countries, lower case, as the JVM's locale data has them."""
     locale = spark.sparkContext._jvm.java.util.Locale
-    return sorted({locale.of("", code).getDisplayCountry(locale.ENGLISH).lower() for code in locale.getISOCountries()})
+    return sorted({locale("", code).getDisplayCountry(locale.ENGLISH).lower() for code in locale.getISOCountries()})
 
 
 def origin_names(countries: Iterable[str]) -> list[str]:
