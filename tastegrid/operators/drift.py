@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tastegrid.functions.blanks import BLANK_MARKERS, is_blank, utrim
+from tastegrid.functions.runtime import checkpointed
 
 #: Parts into which the cells of one file and field are split for joins, so that a hot file is no single task.
 SALTS = 16
@@ -45,13 +46,12 @@ def _fields(record: Column) -> Column:
     return F.try_parse_json(record).try_cast("map<string,variant>")
 
 
-def cells(files: DataFrame, records: DataFrame) -> DataFrame:
-    """feed, file_seq, file_id, url, field, kind, value: one row per key of a JSON object; blanks have no kind.
+def cells(records: DataFrame) -> DataFrame:
+    """file_id, url, field, kind, value: one row per key of a JSON object; blanks have no kind.
 
     kind is 3 for text, 2 for numbers written with a point, 1 for whole numbers, 0 for true and false.
     """
-    known = files.select("file_id", "feed", "file_seq").where("file_id is not null and feed is not null and file_seq is not null")
-    parsed = records.select("file_id", _fields(F.col("record")).alias("fields")).where("fields is not null")
+    parsed = records.where("file_id is not null").select("file_id", _fields(F.col("record")).alias("fields")).where("fields is not null")
     rows = parsed.select("file_id", F.try_element_at("fields", F.lit("url")).cast("string").alias("url"), F.explode("fields").alias("field", "v"))
     schema, text = F.schema_of_variant("v"), F.col("v").cast("string")
     kind = (
@@ -63,12 +63,16 @@ def cells(files: DataFrame, records: DataFrame) -> DataFrame:
         .otherwise(F.lit(3))
     )
     plain = F.when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT|BIGINT)"), F.col("v").try_cast("double").cast("string")).otherwise(text)
-    return rows.select("file_id", "url", "field", kind.alias("kind"), plain.alias("value")).join(known, "file_id")
+    return rows.select("file_id", "url", "field", kind.alias("kind"), plain.alias("value"))
 
 
-def field_catalogue(cells_: DataFrame) -> DataFrame:
-    """feed, file_seq, file_id, field, kind: which file has which field, and the type of its non-blank values."""
-    return cells_.groupBy("feed", "file_seq", "file_id", "field").agg(F.max("kind").alias("kind"))
+def field_catalogue(files: DataFrame, records: DataFrame) -> DataFrame:
+    """feed, file_seq, file_id, field, kind: which file has which field, and the type of its non-blank values.
+
+    Fields are combined where the records lie; only the catalogue meets the table of files.
+    """
+    known = files.select("file_id", "feed", "file_seq").where("file_id is not null and feed is not null and file_seq is not null").distinct()
+    return cells(records).groupBy("file_id", "field").agg(F.max("kind").alias("kind")).join(known, "file_id")
 
 
 def _lifespans(catalogue: DataFrame) -> DataFrame:
@@ -101,8 +105,7 @@ def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
     that are no JSON object, records of unknown files and files without feed or number are ignored; a field that
     has only blanks in a file is there, but has no type; repeated rows count once; further columns are ignored.
     """
-    data = cells(files, records)
-    log = _lifespans(field_catalogue(data))
+    log = _lifespans(checkpointed(field_catalogue(files, records)))
     numbered = files.select("file_id", "feed", "file_seq").where("file_id is not null").distinct()
     pairs = numbered.alias("now").join(
         numbered.alias("old"),
@@ -115,7 +118,7 @@ def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
     came = came.join(pairs, "file_id")
     went = log.where("after_seq is null or after_seq > file_seq + 1").select(F.col("file_id").alias("old_id"), F.col("field").alias("old_field"))
     went = went.join(pairs, "old_id")
-    renamed = _renamed(data, came, went)
+    renamed = checkpointed(_renamed(cells(records), came, went))
     added = came.join(renamed, ["file_id", "new_field"], "left_anti").select(
         "file_id", F.lit("added").alias("change"), F.lit("").alias("old_field"), "new_field"
     )
@@ -132,7 +135,8 @@ def _renamed(data: DataFrame, came: DataFrame, went: DataFrame) -> DataFrame:
     Where several would do, the pair with more such reviews goes first, then the names in order.
     """
     candidates = went.select("file_id", "old_id", "old_field").join(came.select("file_id", "new_field"), "file_id")
-    filled = data.where("kind is not null and url is not null").select(
+    concerned = candidates.select("file_id", F.col("new_field").alias("field")).union(candidates.select("old_id", "old_field")).distinct()
+    filled = data.where("kind is not null and url is not null").join(concerned, ["file_id", "field"], "left_semi").select(
         "file_id", "field", "url", "kind", "value", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt")
     )
     salted = candidates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

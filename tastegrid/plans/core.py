@@ -17,8 +17,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = drift.cells(table(spark, sf_dir, "export_files"), table(spark, sf_dir, "export_records"))
-    return drift.lifespans(drift.field_catalogue(data))
+    return drift.lifespans(drift.field_catalogue(table(spark, sf_dir, "export_files"), table(spark, sf_dir, "export_records")))
 
 
 def p1_consistent_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,7 @@ def test_against_brute_force(spark, data):
 def test_lifespans_and_consistent_table(spark, data):
     files = spark.createDataFrame([(1, "f", 1), (2, "f", 2), (3, "f", 3)], FILES)
     records = spark.createDataFrame([*lines(1, {"url": "a", "acid": 3}), *lines(2, {"url": "b", "Acidity": "4.5", "odd": 1}), *lines(3, {"url": "c", "acid": "Low"})], RECORDS)
-    spans = drift.lifespans(drift.field_catalogue(drift.cells(files, records))).where("field = 'acid'").collect()
+    spans = drift.lifespans(drift.field_catalogue(files, records)).where("field = 'acid'").collect()
     assert sorted((r.first_seq, r.last_seq, r.kind) for r in spans) == [(1, 1, 1), (3, 3, 3)]
     rows = {r.url: r for r in drift.consistent_table(files, records).collect()}
     assert (rows["a"].acidity, rows["b"].acidity, rows["c"].acidity) == (3.0, 4.5, None)
