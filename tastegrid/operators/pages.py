@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tastegrid.functions.runtime import spread
 from tastegrid.functions.strings import url_join
 from tastegrid.operators.graph import reachable
 
@@ -161,7 +162,8 @@ def parse_review(pages: pd.Series) -> pd.DataFrame:
 
 def review_records(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """url, the fields of a review page, extras; pages that could not be fetched (null) are left out."""
-    parsed = pages.where(F.col(html).isNotNull()).select(F.col(url).alias("url"), parse_review(F.col(html)).alias("r"))
+    had = spread(pages.where(F.col(html).isNotNull()).select(F.col(url).alias("url"), F.col(html).alias("html")))
+    parsed = had.select("url", parse_review(F.col("html")).alias("r"))
     return parsed.select("url", "r.*")
 
 
