@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def importable_on_workers(spark: SparkSession) -> None:
+    """Let Python workers that share the driver's files import this package from where the driver has it.
+
+    A cluster whose machines don't share files gets the package with ``--py-files``, as usual; this does no harm then.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names; set an own one only where none is set."""
     context = spark.sparkContext
