@@ -31,4 +31,26 @@ QUERIES = {
     "p4_found": p4_found,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_CELLS = """rec AS (SELECT DISTINCT file_id, line_no, record FROM export_records WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
+cell AS (SELECT r.file_id, json_extract_string(r.record, '$.url') AS url, e.key AS field, e.type AS t, json_extract_string(e.value, '$') AS s FROM rec r, json_each(r.record) e),
+filled AS (SELECT file_id, url, field, CASE WHEN t = 'VARCHAR' AND trim(s) NOT IN ('', 'NR', 'N/A', 'NA', 'na') THEN 3 WHEN t IN ('DOUBLE', 'FLOAT') THEN 2
+    WHEN t IN ('UBIGINT', 'BIGINT') THEN 1 WHEN t = 'BOOLEAN' THEN 0 END AS kind,
+    CASE WHEN t IN ('DOUBLE', 'FLOAT', 'UBIGINT', 'BIGINT') THEN CAST(CAST(s AS DOUBLE) AS VARCHAR) ELSE s END AS v FROM cell),
+cat AS (SELECT feed, file_seq, file_id, field, max(kind) AS kind FROM filled JOIN export_files USING (file_id) GROUP BY ALL)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": f"""WITH {_CELLS},
+pair AS (SELECT n.file_id, o.file_id AS old_id FROM export_files n JOIN export_files o ON n.feed = o.feed AND n.file_seq = o.file_seq + 1),
+came AS (SELECT p.*, c.field FROM pair p JOIN cat c USING (file_id) WHERE NOT EXISTS (SELECT 1 FROM cat o WHERE o.file_id = p.old_id AND o.field = c.field)),
+went AS (SELECT p.*, c.field FROM pair p JOIN cat c ON c.file_id = p.old_id WHERE NOT EXISTS (SELECT 1 FROM cat n WHERE n.file_id = p.file_id AND n.field = c.field)),
+ren AS (SELECT w.file_id, w.field AS old_field, c.field AS new_field FROM went w JOIN came c ON c.file_id = w.file_id
+    JOIN filled o ON o.file_id = w.old_id AND o.field = w.field JOIN filled n ON n.file_id = w.file_id AND n.field = c.field AND n.url = o.url
+    WHERE o.kind IS NOT NULL AND n.kind IS NOT NULL GROUP BY ALL HAVING bool_and(o.v = n.v AND (o.kind = 3) = (n.kind = 3)))
+SELECT file_id, 'renamed' AS change, old_field, new_field FROM ren
+UNION SELECT file_id, 'added', '', field FROM came c WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.file_id = c.file_id AND new_field = field)
+UNION SELECT file_id, 'removed', field, '' FROM went w WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.file_id = w.file_id AND old_field = field)
+UNION SELECT p.file_id, 'retyped', n.field, n.field FROM pair p JOIN cat n ON n.file_id = p.file_id JOIN cat o ON o.file_id = p.old_id AND o.field = n.field WHERE n.kind <> o.kind""",
+    "p1_lifespans": f"""WITH {_CELLS},
+island AS (SELECT feed, field, kind, file_seq, file_seq - row_number() OVER (PARTITION BY feed, field, kind ORDER BY file_seq) AS g FROM cat)
+SELECT feed, field, kind, min(file_seq) AS first_seq, max(file_seq) AS last_seq FROM island GROUP BY feed, field, kind, g""",
+}

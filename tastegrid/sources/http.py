@@ -9,18 +9,21 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Answers that may be different next time; every other failure is final.
 TRANSIENT = frozenset({429, 500, 502, 503, 504})
-BASE_S, MOST_S, JITTER_S, TIMEOUT_S, ATTEMPTS = 1.0, 30.0, 1.0, 20.0, 5
+#: Seconds to wait after each failed attempt; the last one holds for all later ones.
+PAUSES_S = (1.0, 2.0, 4.0, 8.0, 16.0, 30.0)
+JITTER_S, TIMEOUT_S, ATTEMPTS = 1.0, 20.0, 5
 
 
 def pause_before(attempt: int, retry_after: str | None, jitter: Callable[[], float] = lambda: random.uniform(0, JITTER_S)) -> float:
-    """Seconds before the next attempt: what the server asks for, else doubling up to a limit, with jitter."""
-    if retry_after and retry_after.isdigit():
-        return float(retry_after)
-    return min(BASE_S * 2**attempt, MOST_S) + jitter()
+    """Seconds before the next attempt: what the server asks for in whole seconds, else the schedule with jitter."""
+    wish = (retry_after or "").strip()
+    return float(wish) if wish.isdecimal() else PAUSES_S[min(attempt, len(PAUSES_S) - 1)] + jitter()
 
 
 def fetch(url: str, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> str | None:
@@ -75,3 +78,16 @@ class HttpPages(DataSource):
     def reader(self, schema) -> DataSourceReader:
         urls = [u for u in self.options.get("urls", "").splitlines() if u.strip()]
         return _Reader(urls, int(self.options.get("at_once", "10")), int(self.options.get("attempts", str(ATTEMPTS))))
+
+
+def read_rates(spark: SparkSession, template: str, days: list[str], at_once: int = 1, attempts: int = 3) -> DataFrame:
+    """review_date, price_currency, rate from one answer a day, ``{"rates": {currency: rate}}``.
+
+    ``template`` has ``{day}`` in it; a day that could not be had keeps a row of nulls.
+    """
+    spark.dataSource.register(HttpPages)
+    asked = spark.createDataFrame([(template.format(day=d), d) for d in days], "url string, day string")
+    reader = spark.read.format("http_pages").option("urls", "\n".join(template.format(day=d) for d in days))
+    answers = reader.option("at_once", at_once).option("attempts", attempts).load()
+    rates = F.from_json("html", "rates map<string,double>")["rates"]
+    return asked.join(answers, "url", "left").select(F.to_date("day").alias("review_date"), F.explode_outer(rates).alias("price_currency", "rate"))

@@ -57,12 +57,13 @@ def test_http_source(spark):
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             tries[self.path] = tries.get(self.path, 0) + 1
-            code = {"/gone": 404, "/busy": 503 if tries[self.path] < 2 else 200, "/down": 500}.get(self.path, 200)
+            code = {"/gone": 404, "/busy": 503 if tries[self.path] < 2 else 200, "/down": 500}.get(self.path.split("?")[0], 200)
             self.send_response(code)
             if code != 200:
                 self.send_header("Retry-After", "0")
             self.end_headers()
-            self.wfile.write(f"page {self.path}".encode())
+            rates = b'{"rates": {"EUR": 0.9}}'
+            self.wfile.write(rates if "rates" in self.path else f"page {self.path}".encode())
 
         def log_message(self, *args):
             pass
@@ -75,6 +76,8 @@ def test_http_source(spark):
     got = spark.read.format("http_pages").option("urls", urls).option("at_once", 2).option("attempts", 3).load()
     assert {(r.url.rsplit("/")[-1], r.html) for r in got.collect()} == {("ok", "page /ok"), ("gone", None), ("busy", "page /busy"), ("down", None)}
     assert tries == {"/ok": 1, "/gone": 1, "/busy": 2, "/down": 3}
+    rates = http.read_rates(spark, at + "/rates-{day}", ["2024-01-01"]).union(http.read_rates(spark, at + "/down?{day}", ["2024-02-01"], attempts=1))
+    assert sorted((str(r.review_date), r.price_currency, r.rate) for r in rates.collect()) == [("2024-01-01", "EUR", 0.9), ("2024-02-01", None, None)]
     server.shutdown()
 
 
