@@ -170,23 +170,24 @@ def train(rows: list[tuple[str | None, str | None, frozenset[str]]], subjects: l
 
 def _fit_sentences(model: SubjectModel, texts: list[str | None], y: np.ndarray) -> None:
     """The mixture of sentences by expectation-maximisation."""
+    number: dict[str, int] = {}
     sets, owner = [], []
     for d, text in enumerate(texts):
         for w in sentences(text) if text else ():
-            sets.append(sentence_features(w))
+            sets.append(np.array([number.setdefault(f, len(number)) for f in sorted(sentence_features(w))], dtype=np.int32))
             owner.append(d)
-    counts: dict[str, int] = {}
-    for s in sets:
-        for f in s:
-            counts[f] = counts.get(f, 0) + 1
-    kept = sorted((f for f, c in counts.items() if c >= 2), key=lambda f: (-counts[f], f))[:MOST_FEATURES]
+    counts = np.bincount(np.concatenate(sets), minlength=len(number)) if sets else np.zeros(0, dtype=np.int64)
+    kept = sorted((f for f, i in number.items() if counts[i] >= 2), key=lambda f: (-counts[number[f]], f))[:MOST_FEATURES]
     model.vocabulary = {f: i for i, f in enumerate(kept)}
     k = len(model.subjects) + OTHER_TOPICS
     v = len(kept)
     if not sets or not v:
         model.log_share, model.log_prior = np.zeros((max(v, 1), k)), np.log(np.full(k, 1 / k))
         return
-    ids = [np.array(sorted(model.vocabulary[f] for f in s if f in model.vocabulary), dtype=np.int32) for s in sets]
+    renumbered = np.full(len(number), -1, dtype=np.int32)
+    renumbered[[number[f] for f in kept]] = np.arange(v)
+    del number
+    ids = [i[i >= 0] for i in (renumbered[s] for s in sets)]
     sizes = np.array([len(i) for i in ids])
     flat = np.concatenate(ids)
     of = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
