@@ -3,11 +3,13 @@
 The entries and their aliases are paths of one trie. A typed value is searched along all paths at once by an
 automaton that accepts whatever lies within a distance that depends on the length; subtrees that no completion can
 bring back within it are left. The distance counts letters changed, left out, put in or swapped with the next.
+An entry that stands in a value as whole words yields to a longer one that the words around it spell with a typo.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -181,7 +183,9 @@ class CanonicalMatcher:
         """``entries``: ref_id, canonical, full name or None."""
         self._exact: dict[str, int] = {}  # names that count within a longer text
         self._whole: dict[str, int] = {}  # names that count only as a whole part
+        self._names: list[tuple[str, int, int]] = []  # with the distance at which each may still be met
         self._trie = Trie()
+        self._around: dict[str, Trie] = {}
         self._known: dict[str, int] = {}
         self.canonical = {canonical for _, canonical, _ in entries}
         aliases = ALIASES.get(field, {})
@@ -190,17 +194,20 @@ class CanonicalMatcher:
                 key = folded(name)
                 for form in {key, key + "s", key + "es"} if full else {key}:
                     self._exact[form] = ref
-                self._trie.add(key, ref, allowed_distance(len(key)))
+                self._names.append((key, ref, allowed_distance(len(key))))
         for ref, canonical, _ in entries:
             for alias in aliases.get(canonical, ()):
                 key = folded(alias)
                 for form in {key, key + "s"}:
                     (self._exact if len(key) > 2 or not key.isascii() else self._whole).setdefault(form, ref)
                 if len(key) >= 5:
-                    self._trie.add(key, ref, 1)
+                    self._names.append((key, ref, 1))
             if field == "coffee_origin_country" and canonical in COUNTRY_CODES:
                 self._whole.setdefault(COUNTRY_CODES[canonical].lower(), ref)
+        for name in self._names:
+            self._trie.add(*name)
         self._longest = max((len(n.split()) for n in self._exact), default=1)
+        self._letters = max(map(len, self._exact), default=0)
 
     def match(self, value: str) -> int:
         """The ref_id that a value means, 0 if none."""
@@ -214,30 +221,54 @@ class CanonicalMatcher:
     def _match(self, value: str) -> int:
         whole = folded(value)
         parts = [p for p in (folded(x) for x in _parts(value)) if p]
-        for text in [whole, *parts]:
-            ref = self._exact.get(text) or self._whole.get(text)
-            if ref:
-                return ref
-        within = self._within(whole)
-        if within:
-            return within
+        named = next(((ref, text) for text in [whole, *parts] if (ref := self._exact.get(text) or self._whole.get(text))), None)
+        named = named or self._within(whole)
+        if named:
+            return self._longer(whole, *named)
         for text in [whole, *(p for p in parts if p != whole)]:
             ref = self._near(text)
             if ref:
                 return ref
         return 0
 
-    def _within(self, text: str) -> int:
-        """The one entry that the words of a text name, longer names first; 0 for none and for several."""
-        words, used, refs = text.split(), set(), set()
+    def _within(self, text: str) -> tuple[int, str] | None:
+        """The one entry that the words of a text name, longer names first, with its name; None for none and for several."""
+        words, used, refs = text.split(), set(), {}
         for n in range(min(self._longest, len(words)), 0, -1):
             for i in range(len(words) - n + 1):
                 span = range(i, i + n)
-                ref = self._exact.get(" ".join(words[i : i + n]))
+                name = " ".join(words[i : i + n])
+                ref = self._exact.get(name)
                 if ref and not used.intersection(span):
                     used.update(span)
-                    refs.add(ref)
-        return refs.pop() if len(refs) == 1 else 0
+                    refs.setdefault(ref, name)
+        return refs.popitem() if len(refs) == 1 else None
+
+    def _longer(self, text: str, ref: int, name: str) -> int:
+        """The entry of the name that words of a text spell, or that of a longer one that they spell with words next
+        to them: one which, after what its distance takes off, still has more letters."""
+        longer = self._around.get(name)
+        if longer is None:
+            longer = self._around[name] = self._that_may_hold(name)
+        words, inner = text.split(), name.split()
+        most, best = len(inner) + self._longest, (len(name), 0, ref)
+        for at in [i for i in range(len(words) - len(inner) + 1) if words[i : i + len(inner)] == inner]:
+            for i in range(max(0, at + len(inner) - most), at + 1):
+                for j in range(at + len(inner), min(len(words), i + most) + 1):
+                    around = " ".join(words[i:j])
+                    if j - i > len(inner) and len(around) <= self._letters + 2:
+                        for d, entry, found in longer.search(around, allowed_distance(len(around) + 1)):
+                            best = max(best, (len(found) - d, -entry, entry)) if len(found) - d > len(name) else best
+        return best[2]
+
+    def _that_may_hold(self, name: str) -> Trie:
+        """The longer names that lack no more letters of a name than their distance allows: no other
+        one lies within its distance of a text that has the name in it."""
+        out, letters = Trie(), Counter(name)
+        for key, entry, most in self._names:
+            if len(key) > len(name) and (letters - Counter(key)).total() <= most:
+                out.add(key, entry, most)
+        return out
 
     def _near(self, text: str) -> int:
         """The nearest entry within the distance; of equally near ones that which needs no letter put in but a doubled

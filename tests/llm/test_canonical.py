@@ -30,6 +30,31 @@ def test_currencies(value, entry):
     assert MONEY.match(value) == entry
 
 
+CONGO = CanonicalMatcher("coffee_origin_country", [(41, "Democratic Republic of the Congo", None), (42, "Republic of the Congo", None), (46, "Niger", None), (47, "Nigeria", None)])
+
+
+@pytest.mark.parametrize(("value", "entry"), [
+    ("Eqautoial Guinea", "Equatorial Guinea"), ("Equatoriial Guinea", "Equatorial Guinea"), ("Papua mew Guinea", "Papua New Guinea"), ("Paeua Nrw Guinea", "Papua New Guinea"),
+    ("southern Papua mew Guinea", "Papua New Guinea"), ("Equaorial, Guinea", "Equatorial Guinea"), ("Town, Equatorrial Guinea", "Equatorial Guinea"), ("Dominica Republic", "Dominican Republic"),
+    ("southern Guinea", "Guinea"), ("Guinea 1", "Guinea"), ("Town (Guinea)", "Guinea"), ("Niger, Town", "Niger"), ("Peru and Equatoriial Guinea", None),
+])
+def test_a_longer_misspelt_entry_beats_a_shorter_one_within(value, entry):
+    assert MATCHER.match(value) == (COUNTRIES.index(entry) + 1 if entry else 0)
+
+
+@pytest.mark.parametrize(("value", "entry"), [
+    ("Demoocratic Republic of the Congo", 41), ("Democraric Republic of the Congo", 41), ("Town, Demoratic Republic of the Congo", 41),
+    ("Republic of the Congo", 42), ("Town, Republic of the Congo", 42), ("the Republic of the Congo", 42), ("Niger ia", 47), ("Niger i", 46),
+])
+def test_the_two_congos(value, entry):
+    assert CONGO.match(value) == entry
+
+
+def test_a_word_besides_a_currency_makes_it_no_longer_one():
+    money = CanonicalMatcher("price_currency", [(101, "USD", "United States dollar"), (105, "AUD", "Australian dollar")])
+    assert money.match("a US dollar") == 101 and money.match("Aus dolar") == 105
+
+
 def plain_distance(a, b):
     d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
     for i, x in enumerate(a):
