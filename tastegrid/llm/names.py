@@ -150,3 +150,13 @@ def gap(a: tuple[str, ...], b: tuple[str, ...]) -> float:
         if total >= 9:
             return 9
     return total
+
+
+def widest(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """The greatest gap between two words that ``gap`` holds against each other; 0 for names of other numbers of words."""
+    most, rest = 0.0, list(b)
+    for w in a if len(a) == len(b) else ():
+        best = min(range(len(rest)), key=lambda j: (word_gap(w, rest[j]), j))
+        most = max(most, word_gap(w, rest[best]))
+        del rest[best]
+    return most

@@ -23,11 +23,11 @@ from tastegrid.operators.graph import components
 
 #: Spellings in the same town whose words are at most so far apart are one company.
 SAME_TOWN_GAP = 2.5
-#: The same where a place is unknown, and for names of one word there, of which many lie near each other.
+#: The same where a place is unknown, and for each word there, as many words lie near each other.
 NO_TOWN_GAP = 2.0
 LONE_WORD_GAP = 1.0
-#: A word in more than this share of all forms, and in more than HOT_FORMS, opens no block alone. No more than
-#: words per form / HOT_SHARE words can be so frequent, which bounds what is broadcast.
+#: A word in more than this share of all forms, and in more than HOT_FORMS, opens no block alone, but
+#: with each of the other words. No more than words per form / HOT_SHARE words can be so frequent, which bounds what is broadcast.
 HOT_SHARE = 0.0005
 HOT_FORMS = 50
 MOST_ROUNDS = 20
@@ -61,48 +61,96 @@ def forms(rows: DataFrame, id_column: str, name_column: str, place_column: str)
     return texts.mapInArrow(read, f"record {kind}, {_FORM}").distinct()
 
 
-def _variants(word: str) -> set[str]:
-    """The word and what is left of it without one letter: words one letter apart share one of them."""
+def _variants(word: str, most: int) -> set[str]:
+    """The word and what is left of it without a letter, or without two where ``most`` is 2 and the word long enough
+    for two typos: words so many letters apart share one of them."""
     if len(word) < 4:
         return {word}
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+    one = {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v)) if len(v) < len(word)} if most == 2 and len(word) >= 7 else one
 
 
-def block_keys(core: list[str], frequent: frozenset[str]) -> set[str]:
-    """Keys of which two spellings of one name share one."""
-    rare = [w for w in core if w not in frequent and len(w) > 1]
-    if rare:
-        return {v for w in rare for v in _variants(w)} | ({"".join(core)} if len(core) > 1 else set())
-    if len(core) == 1:
-        return _variants(core[0])
-    return {f"{a}+{v}" for i, a in enumerate(core) for j, b in enumerate(core) if i != j for v in _variants(b)}
+def _letters(words: list[str]) -> str:
+    return "".join(sorted(w[0] for w in words))
 
 
-def _keyed(forms_: DataFrame, frequent: frozenset[str]) -> DataFrame:
+def _abbreviated(words: list[str]) -> bool:
+    return any(not set(w[1:]) & set("aeiou") for w in words)
+
+
+def block_keys(core: list[str], hot: frozenset[str]) -> set[tuple[str, str]]:
+    """Keys, and the keys that they meet, of which two names within SAME_TOWN_GAP share one.
+
+    Two names of three or more words have an equal word or one that is abbreviated, two of two words have one a letter
+    apart at most or one that is abbreviated. The first opens a block, unless it is hot or an initial: then it does
+    with each of the other words, which are near, too, or all abbreviated. Abbreviated ones stand with their first
+    letters and meet if one of both may be an abbreviation. Names of other numbers of words meet run together.
+    """
+    n = len(core)
+    same = {f"={v}" for v in _variants("".join(core), 1)}
+    short: dict[str, bool] = {}  # keys with first letters, and whether these may be an abbreviation here
+    if n == 1:
+        w = core[0]
+        same |= {f"1 {v}" for v in _variants(w, 2)} | {f"1~{w[0]}{''.join(c for c in w[1:] if c not in 'aeiou')}"}
+    else:
+        def add(key: str, of: list[str]) -> None:
+            short[key] = short.get(key, False) or _abbreviated(of)
+
+        add(f"{n}~{_letters(core)}", core)
+        for i, w in enumerate(core):
+            rest = core[:i] + core[i + 1 :]
+            near = set().union(*[_variants(x, 1) for x in rest])
+            # Of two words, one may be two letters apart; then the other is equal or abbreviated.
+            far = near if n > 2 else _variants(rest[0], 2) if len(rest[0]) >= 7 else set()
+            for f in far:
+                add(f"{n}~{w[0]} {f}", [w])
+            for k in _variants(w, 1) if n == 2 else {w}:
+                if k not in hot and len(k) > 1:
+                    same.add(f"{n} {k}")
+                    continue
+                other = near if n > 2 else far | near & hot if k == w else near & hot
+                same |= {f"{n} {k} {f}" for f in other}
+                add(f"{n} {k}~{_letters(rest)}", rest)
+    out = {(k, k) for k in same}
+    for k, may in short.items():
+        out |= {(f"{k}<", f"{k}>"), (f"{k}>", f"{k}<")} if may else {(f"{k}>", f"{k}<")}
+    return out
+
+
+def hot_keys(words: list[str]) -> frozenset[str]:
+    """The keys of frequent words."""
+    return frozenset().union(*[_variants(w, 1) for w in words])
+
+
+def _keyed(forms_: DataFrame, hot: frozenset[str]) -> DataFrame:
+    """form, key, meets: a form meets those whose key is what its own key meets. Keys are hashed."""
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out = [], []
             for k, core in enumerate(batch.column(1).to_pylist()):
-                for key in sorted(block_keys(core, frequent)):
+                for key in sorted(block_keys(core, hot)):
                     at.append(k)
                     out.append(key)
             taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0), pa.array(out, pa.string())], ["form", "key"])
+            columns = [pa.array([key[x] for key in out], pa.string()) for x in (0, 1)]
+            yield pa.RecordBatch.from_arrays([taken.column(0), *columns], ["form", "key", "meets"])
 
-    return forms_.where("initials is null").select("form", "core").mapInArrow(keys, "form string, key string")
+    return forms_.where("initials is null").select("form", "core").mapInArrow(keys, "form string, key string, meets string").select("form", F.xxhash64("key").alias("key"), F.xxhash64("meets").alias("meets"))
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    """Adds gap to rows with core_a and core_b."""
+    """Adds gap and widest, that of the words furthest apart, to rows with core_a and core_b."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("core_a").to_pylist(), batch.column("core_b").to_pylist()
             gaps = pa.array([float(names.gap(tuple(x), tuple(y))) for x, y in zip(a, b, strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, gaps], [*batch.schema.names, "gap"])
+            wide = pa.array([float(names.widest(tuple(x), tuple(y))) for x, y in zip(a, b, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, gaps, wide], [*batch.schema.names, "gap", "widest"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInArrow(score, f"{fields}, gap double")
+    return pairs.mapInArrow(score, f"{fields}, gap double, widest double")
 
 
 def resolve(rows: DataFrame, id_column: str = "name_id", name_column: str = "roaster", place_column: str = "roaster_location") -> DataFrame:
@@ -117,8 +165,8 @@ def resolve(rows: DataFrame, id_column: str = "name_id", name_column: str = "roa
     known = checkpointed(known.withColumn("entity", F.col("form")))
     n = known.count()
     words = known.select(F.explode(F.array_distinct("core")).alias("word")).groupBy("word").count()
-    frequent = frozenset(r.word for r in words.where(F.col("count") > max(HOT_FORMS, n * HOT_SHARE)).collect())
-    keyed = checkpointed(_keyed(known, frequent))
+    hot = hot_keys([r.word for r in words.where(F.col("count") > max(HOT_FORMS, n * HOT_SHARE)).collect()])
+    keyed = checkpointed(_keyed(known, hot))
     measured = _measured(known, keyed)
     for _ in range(MOST_ROUNDS):
         edges = checkpointed(_edges(known, measured))
@@ -135,7 +183,7 @@ def _measured(known: DataFrame, keyed: DataFrame) -> DataFrame:
     Forms with towns meet within their town. Forms without one meet all forms of their blocks; few are without.
     """
     placed = keyed.join(known.select("form", "town", "country"), "form")
-    side = lambda df, x: df.select(F.col("form").alias(f"form_{x}"), "key", F.col("town").alias(f"town_{x}"), F.col("country").alias(f"country_{x}"))
+    side = lambda df, x: df.select(F.col("form").alias(f"form_{x}"), F.col("key" if x == "a" else "meets").alias("key"), F.col("town").alias(f"town_{x}"), F.col("country").alias(f"country_{x}"))
     here, there = placed.where("town is not null"), placed.where("town is null")
     same = side(here, "a").join(side(here, "b").withColumn("town_a", F.col("town_b")), ["key", "town_a"]).where("form_a < form_b").select("form_a", "form_b", F.lit(True).alias("in_town"))
     agree = "country_a is null or country_b is null or country_a = country_b"
@@ -146,9 +194,8 @@ def _measured(known: DataFrame, keyed: DataFrame) -> DataFrame:
     pairs = pairs.join(cores.withColumnsRenamed({"form": "form_a", "core": "core_a"}), "form_a")
     pairs = pairs.join(cores.withColumnsRenamed({"form": "form_b", "core": "core_b"}), "form_b")
     near = _scored(pairs.select("form_a", "form_b", "in_town", "core_a", "core_b"))
-    alone = (F.size("core_a") == 1) & (F.size("core_b") == 1)
-    most = F.when(F.col("in_town"), F.lit(SAME_TOWN_GAP)).when(alone, F.lit(LONE_WORD_GAP)).otherwise(F.lit(NO_TOWN_GAP))
-    near = near.where(F.col("gap") <= most)
+    most = F.when(F.col("in_town"), F.lit(SAME_TOWN_GAP)).otherwise(F.lit(NO_TOWN_GAP))
+    near = near.where((F.col("gap") <= most) & (F.col("in_town") | (F.col("widest") <= LONE_WORD_GAP)))
     return checkpointed(near.select("form_a", "form_b", "gap"))
 
 

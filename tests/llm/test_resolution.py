@@ -51,3 +51,30 @@ def test_blocks_miss_no_near_pair_of_a_town(spark, data):
     for (i, a, s), (j, b, t) in itertools.combinations(sorted(read), 2):
         if s and s == t and a and b and names.gap(a, b) <= 1:
             assert (i, j) in got
+
+
+def meet(a, b, hot):
+    x, y = (resolution.block_keys(list(c), hot) for c in (a, b))
+    return bool({k for k, _ in x} & {m for _, m in y})
+
+
+@pytest.mark.parametrize(("a", "b"), [
+    (("pijuseno", "river"), ("piujseno", "river")), (("pijuseno", "river"), ("pijusneo", "rivre")), (("j", "pijuseno"), ("jane", "pijuseno")),
+    (("pijuseno", "river"), ("pijusenoriver",)), (("pijusenno", "river"), ("pijusenoriver",)), (("pijuseno", "river"), ("pimuseto", "river")),
+    (("j", "pijuseno"), ("jane", "pimuseto")), (("j", "rvr"), ("jane", "river")), (("river", "pijuseno", "j"), ("pijusenp", "jane", "river")), (("pijuseno",), ("pimuseto",)),
+])
+def test_near_names_meet_however_frequent_their_words_are(a, b):
+    assert names.gap(a, b) <= resolution.SAME_TOWN_GAP
+    for hot in ([], ["river"], ["pijuseno"], ["pijuseno", "river", "jane"]):
+        assert meet(a, b, resolution.hot_keys(hot)) and meet(b, a, resolution.hot_keys(hot))
+
+
+def test_hot_words_link(spark, monkeypatch):
+    monkeypatch.setattr(resolution, "HOT_FORMS", 1)
+    rows = [(1, "Pijuseno River Coffee", "Town"), (2, "Piujseno River", "Town"), (3, "Pijuseno Hill", "Town"), (4, "Puporide River", "Town"), (5, "Pijuseno Hill", "Other"), (6, "Piujseno Lake", "Third")]
+    assert pairs(spark, rows) == {(1, 2)}
+
+
+def test_without_a_town_no_word_is_two_letters_apart(spark):
+    rows = [(1, "Pipemoki Summit", "Town"), (2, "Rizemoki Summit", None), (3, "Pipemoky Summit", None)]
+    assert pairs(spark, rows) == {(1, 3)}
