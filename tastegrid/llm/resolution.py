@@ -2,9 +2,10 @@
 
 A spelling is a form: its telling words, or its initials, and the town and country it was seen with. Equal forms are
 one profile. In each round, profiles meet others in blocks, matching ones merge, and the merged profile has all
-their spellings, initials and places; so enriched, it enters the blocks again: a form without a place, which could
-not be told apart before, may now meet one place only, and a form of initials one company that has them. The rounds
-end when nothing merges any more.
+their spellings, initials and places. So enriched, it enters the blocks again: its spellings without a town enter
+those of the town it now has, where names may be further apart; a form without a place, which could not be told
+apart before, may now meet one place only; and a form of initials one company that has them. The rounds end when
+nothing merges any more. What two spellings are apart doesn't change, so it is measured when they first meet.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,11 +27,8 @@ SAME_TOWN_GAP = 2.5
 #: The same where a place is unknown, and for each word there, as many words lie near each other.
 NO_TOWN_GAP = 2.0
 LONE_WORD_GAP = 1.0
-#: A word in more than this share of all forms, and in more than HOT_FORMS, opens no block alone, but
-#: with each of the other words. No more than words per form / HOT_SHARE words can be so frequent, which bounds what is broadcast.
-HOT_SHARE = 0.0005
-HOT_FORMS = 50
-MOST_ROUNDS = 20
+#: A block of more pairs is parted by the words that its names have besides the one that opened it.
+BLOCK_PAIRS = 2_500
 
 _FORM = "form string, core array<string>, initials string, town string, country string"
 
@@ -70,73 +68,119 @@ def _variants(word: str, most: int) -> set[str]:
     return one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v)) if len(v) < len(word)} if most == 2 and len(word) >= 7 else one
 
 
-def _letters(words: list[str]) -> str:
-    return "".join(sorted(w[0] for w in words))
+def _abbreviated(word: str) -> bool:
+    return not set(word[1:]) & set("aeiou")
 
 
-def _abbreviated(words: list[str]) -> bool:
-    return any(not set(w[1:]) & set("aeiou") for w in words)
+#: How names in a block meet: all of them, or only such as may hold an abbreviation with all.
+ALL, SHORT, LONG = 0, 1, 2
 
 
-def block_keys(core: list[str], hot: frozenset[str]) -> set[tuple[str, str]]:
-    """Keys, and the keys that they meet, of which two names within SAME_TOWN_GAP share one.
+def block_keys(core: list[str], edits: int) -> list[tuple[str, int]]:
+    """Keys of a name, of which two names within SAME_TOWN_GAP share one, and how they meet in its block.
 
-    Two names of three or more words have an equal word or one that is abbreviated, two of two words have one a letter
-    apart at most or one that is abbreviated. The first opens a block, unless it is hot or an initial: then it does
-    with each of the other words, which are near, too, or all abbreviated. Abbreviated ones stand with their first
-    letters and meet if one of both may be an abbreviation. Names of other numbers of words meet run together.
+    Names of one word share what is left of it without ``edits`` letters, or it may be short for the other's. Two of
+    two words share what is left of one without a letter, or one is short for the other; two of more words have an
+    equal word, or one is short for the other. Short words meet by their first letter. Names of other numbers of
+    words are run together: one letter changes either their start or their end.
     """
-    n = len(core)
-    same = {f"={v}" for v in _variants("".join(core), 1)}
-    short: dict[str, bool] = {}  # keys with first letters, and whether these may be an abbreviation here
+    n, joined = len(core), "".join(core)
+    ends = {f"=< {joined[:5]}", f"=> {joined[-5:]}"} if len(joined) >= 11 else set()
+    keys = dict.fromkeys(ends | ({f"= {v}" for v in _variants(joined, 1)} if len(joined) <= 11 else set()), ALL)
     if n == 1:
-        w = core[0]
-        same |= {f"1 {v}" for v in _variants(w, 2)} | {f"1~{w[0]}{''.join(c for c in w[1:] if c not in 'aeiou')}"}
-    else:
-        def add(key: str, of: list[str]) -> None:
-            short[key] = short.get(key, False) or _abbreviated(of)
-
-        add(f"{n}~{_letters(core)}", core)
-        for i, w in enumerate(core):
-            rest = core[:i] + core[i + 1 :]
-            near = set().union(*[_variants(x, 1) for x in rest])
-            # Of two words, one may be two letters apart; then the other is equal or abbreviated.
-            far = near if n > 2 else _variants(rest[0], 2) if len(rest[0]) >= 7 else set()
-            for f in far:
-                add(f"{n}~{w[0]} {f}", [w])
-            for k in _variants(w, 1) if n == 2 else {w}:
-                if k not in hot and len(k) > 1:
-                    same.add(f"{n} {k}")
-                    continue
-                other = near if n > 2 else far | near & hot if k == w else near & hot
-                same |= {f"{n} {k} {f}" for f in other}
-                add(f"{n} {k}~{_letters(rest)}", rest)
-    out = {(k, k) for k in same}
-    for k, may in short.items():
-        out |= {(f"{k}<", f"{k}>"), (f"{k}>", f"{k}<")} if may else {(f"{k}>", f"{k}<")}
-    return out
-
-
-def hot_keys(words: list[str]) -> frozenset[str]:
-    """The keys of frequent words."""
-    return frozenset().union(*[_variants(w, 1) for w in words])
-
-
-def _keyed(forms_: DataFrame, hot: frozenset[str]) -> DataFrame:
-    """form, key, meets: a form meets those whose key is what its own key meets. Keys are hashed."""
+        bare = core[0][0] + "".join(c for c in core[0][1:] if c not in "aeiou")
+        keys |= {f"1~{bare[:k]}": LONG for k in {*range(1, 5), len(bare)}}
+        keys |= {f"1~{core[0]}": SHORT} if _abbreviated(core[0]) else {}
+    for w in core:
+        keys |= dict.fromkeys((f"{n} {v}" for v in (_variants(w, edits) if n == 1 else _variants(w, 1) if n == 2 else (w,))), ALL)
+        if n > 1:
+            keys[f"{n}~{w[0]}"] = SHORT if _abbreviated(w) else keys.get(f"{n}~{w[0]}", LONG)
+    return sorted(keys.items())
+
+
+def finer_keys(core: list[str], key: str, edits: int) -> list[tuple[str, int]]:
+    """Keys of which two near names in the block of ``key`` share one: by the words that did not open it."""
+    n, word = len(core), key.partition(" ")[2]
+    if key[0] == "=":
+        return [(v, ALL) for v in sorted(_variants("".join(core), 1))]
+    if n == 1:
+        return [("", ALL)]
+    keys: dict[str, int] = {}
+    for i, w in enumerate(core):
+        if not (w == word or (n == 2 and word in _variants(w, 1)) if word else w[0] == key[-1]):
+            continue
+        for x in core[:i] + core[i + 1 :]:
+            # Of two words, one may be two letters apart if the other is equal or short.
+            keys |= dict.fromkeys(_variants(x, edits if n == 2 and (not word or w == word) else 1), ALL)
+            keys[f"~{x[0]}"] = SHORT if _abbreviated(x) else keys.get(f"~{x[0]}", LONG)
+    return sorted(keys.items())
+
+
+def _keyed(met: DataFrame) -> DataFrame:
+    """id, asks, edits, block, place, how, words: the blocks of forms with id, core, scope, asks and edits.
+
+    ``place`` is that of the key among the form's; ``words`` their number where names must differ in it. Blocks are hashed.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out = [], []
-            for k, core in enumerate(batch.column(1).to_pylist()):
-                for key in sorted(block_keys(core, hot)):
+            for k, (core, edits) in enumerate(zip(batch.column("core").to_pylist(), batch.column("edits").to_pylist(), strict=True)):
+                for place, (key, how) in enumerate(block_keys(core, edits)):
+                    at.append(k)
+                    out.append((key, place, how, len(core) if key[0] == "=" else 0))
+            taken = batch.select(["id", "scope", "asks", "edits"]).take(pa.array(at, pa.int64()))
+            columns = [pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *columns], [*taken.schema.names, "key", "place", "how", "words"])
+
+    made = met.select("id", "scope", "asks", "edits", "core").mapInArrow(keys, "id bigint, scope string, asks boolean, edits int, key string, place int, how int, words int")
+    return made.select("id", "asks", "edits", F.xxhash64("scope", "key").alias("block"), "place", "how", "words")
+
+
+def _finer(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """id, asks, block, how, finer, words: the blocks that the forms of large blocks enter instead."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for k, (core, place, edits) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("core", "place", "edits")], strict=True)):
+                for key in finer_keys(core, block_keys(core, edits)[place][0], edits):
                     at.append(k)
                     out.append(key)
-            taken = batch.take(pa.array(at, pa.int64()))
-            columns = [pa.array([key[x] for key in out], pa.string()) for x in (0, 1)]
-            yield pa.RecordBatch.from_arrays([taken.column(0), *columns], ["form", "key", "meets"])
+            taken = batch.take(pa.array(at, pa.int64())).select(["id", "asks", "block", "how", "words"])
+            columns = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *columns], [*taken.schema.names, "key", "finer"])
+
+    with_core = keyed.join(known.select("id", "core").hint("merge"), "id").select("id", "asks", "block", "how", "words", "place", "edits", "core")
+    made = with_core.mapInArrow(keys, "id bigint, asks boolean, block bigint, how int, words int, key string, finer int")
+    return made.select("id", "asks", F.xxhash64("block", "key").alias("block"), "how", "finer", "words")
 
-    return forms_.where("initials is null").select("form", "core").mapInArrow(keys, "form string, key string, meets string").select("form", F.xxhash64("key").alias("key"), F.xxhash64("meets").alias("meets"))
+
+def _meeting(met: DataFrame, known: DataFrame) -> DataFrame:
+    """id_a, id_b: every form that asks with those that share a block, once; ``met`` has id, core, scope, asks, edits.
+
+    Blocks of more than BLOCK_PAIRS pairs are parted.
+    """
+    keyed = checkpointed(_keyed(met))
+    short = F.col("how") == SHORT
+    sizes = keyed.groupBy("block").agg(
+        F.max("how").alias("how"), F.count("*").alias("met"), F.count_if("asks").alias("asking"), F.count_if(short).alias("short"), F.count_if(short & F.col("asks")).alias("short_asking")
+    )
+    pairs = F.when(F.col("how") == ALL, F.col("met") * F.col("asking")).otherwise(F.col("met") * F.col("short_asking") + F.col("short") * F.col("asking"))
+    large = checkpointed(sizes.where(pairs > BLOCK_PAIRS).select("block"))
+    rows = keyed.hint("merge").join(large, "block", "left_anti").select("id", "asks", "block", "how", F.lit(ALL).alias("finer"), "words")
+    rows = rows.union(_finer(keyed.hint("merge").join(large, "block", "left_semi"), known))
+
+    def turns(how: str, long: int) -> Column:
+        return F.when(F.col(how) == ALL, F.array(F.lit(0))).when(F.col(how) == SHORT, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(long)))
+
+    def side(x: str, long: int) -> DataFrame:
+        turned = rows.withColumn("turn", F.explode(turns("how", long))).withColumn("finer_turn", F.explode(turns("finer", long)))
+        return turned.select("block", "turn", "finer_turn", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "asks", "words")])
+
+    both = side("l", 2).where("asks_l").hint("merge").join(side("r", 1), ["block", "turn", "finer_turn"])
+    both = both.where("(id_l < id_r or (id_l > id_r and not asks_r)) and (words_l = 0 or words_l <> words_r)")
+    return both.select(F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b")).distinct()
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -161,76 +205,78 @@ def resolve(rows: DataFrame, id_column: str = "name_id", name_column: str = "roa
     taken to be unique; further columns are ignored.
     """
     read = checkpointed(forms(rows, id_column, name_column, place_column))
-    known = read.select("form", "core", "initials", "town", "country").dropDuplicates(["form"])
-    known = checkpointed(known.withColumn("entity", F.col("form")))
-    n = known.count()
-    words = known.select(F.explode(F.array_distinct("core")).alias("word")).groupBy("word").count()
-    hot = hot_keys([r.word for r in words.where(F.col("count") > max(HOT_FORMS, n * HOT_SHARE)).collect()])
-    keyed = checkpointed(_keyed(known, hot))
-    measured = _measured(known, keyed)
-    for _ in range(MOST_ROUNDS):
+    known = read.select("form", "core", "initials", "town", "country").dropDuplicates(["form"]).withColumn("id", F.monotonically_increasing_id())
+    known = checkpointed(known.withColumns({"entity": F.col("id"), "at_town": F.col("town"), "at_country": F.col("country"), "entered": F.col("town").isNotNull()}))
+    here = _within(known.where("town is not null"), "town", F.lit(True))
+    anywhere = known.where("initials is null").select("id", "core", F.lit(None).cast("string").alias("scope"), F.col("town").isNull().alias("asks"), F.lit(1).alias("edits"))
+    measured = _measured(known, _meeting(here.union(anywhere), known))
+    while True:
         edges = checkpointed(_edges(known, measured))
         if edges.isEmpty():
             break
-        roots = components(edges).withColumnsRenamed({"node": "entity"})
-        known = checkpointed(known.join(roots, "entity", "left").withColumn("entity", F.coalesce("root", "entity")).select(*known.columns))
-    return read.select("record", "form").join(known.select("form", "entity"), "form").select("record", "entity")
+        known = _merged(known, edges)
+        fresh = known.where("initials is null and at_town is not null and not entered")
+        if not fresh.isEmpty():
+            placed = known.join(fresh.select("at_town").distinct(), "at_town", "left_semi")
+            measured = measured.union(_measured(known, _meeting(_within(placed, "at_town", ~F.col("entered")), known)))
+            known = known.withColumn("entered", F.col("at_town").isNotNull())
+    names_ = known.groupBy("entity").agg(F.min("form").alias("name"))
+    companies = known.select("form", "entity").join(names_, "entity").select("form", F.col("name").alias("entity"))
+    return read.select("record", "form").join(companies, "form").select("record", "entity")
 
 
-def _measured(known: DataFrame, keyed: DataFrame) -> DataFrame:
-    """form_a, form_b, gap of forms that share a block and may be one company; measured once for all rounds.
+def _within(forms_: DataFrame, town: str, asks: Column) -> DataFrame:
+    """id, core, scope, asks, edits: forms for the blocks of their towns."""
+    return forms_.where("initials is null").select("id", "core", F.col(town).alias("scope"), asks.alias("asks"), F.lit(2).alias("edits"))
 
-    Forms with towns meet within their town. Forms without one meet all forms of their blocks; few are without.
-    """
-    placed = keyed.join(known.select("form", "town", "country"), "form")
-    side = lambda df, x: df.select(F.col("form").alias(f"form_{x}"), F.col("key" if x == "a" else "meets").alias("key"), F.col("town").alias(f"town_{x}"), F.col("country").alias(f"country_{x}"))
-    here, there = placed.where("town is not null"), placed.where("town is null")
-    same = side(here, "a").join(side(here, "b").withColumn("town_a", F.col("town_b")), ["key", "town_a"]).where("form_a < form_b").select("form_a", "form_b", F.lit(True).alias("in_town"))
-    agree = "country_a is null or country_b is null or country_a = country_b"
-    loose = side(there, "a").join(side(here, "b"), "key").where(agree).select("form_a", "form_b", F.lit(False).alias("in_town"))
-    lost = side(there, "a").join(side(there, "b"), "key").where("form_a < form_b").where(agree).select("form_a", "form_b", F.lit(False).alias("in_town"))
-    pairs = same.union(loose).union(lost).distinct()
-    cores = known.select("form", "core")
-    pairs = pairs.join(cores.withColumnsRenamed({"form": "form_a", "core": "core_a"}), "form_a")
-    pairs = pairs.join(cores.withColumnsRenamed({"form": "form_b", "core": "core_b"}), "form_b")
-    near = _scored(pairs.select("form_a", "form_b", "in_town", "core_a", "core_b"))
-    most = F.when(F.col("in_town"), F.lit(SAME_TOWN_GAP)).otherwise(F.lit(NO_TOWN_GAP))
-    near = near.where((F.col("gap") <= most) & (F.col("in_town") | (F.col("widest") <= LONE_WORD_GAP)))
-    return checkpointed(near.select("form_a", "form_b", "gap"))
+
+def _merged(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """The forms with the profiles that they belong to after merging along ``edges``, and with their places."""
+    roots = components(edges).withColumnsRenamed({"node": "entity"})
+    moved = known.join(roots, "entity", "left").withColumn("entity", F.coalesce("root", "entity"))
+    places = moved.groupBy("entity").agg(F.max("town").alias("at_town"), F.max("country").alias("at_country"))
+    return checkpointed(moved.drop("at_town", "at_country").join(places, "entity").select(*known.columns))
+
+
+def _measured(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id_a, id_b, gap, widest of the pairs within SAME_TOWN_GAP."""
+    cores = known.select("id", "core")
+    for x in ("a", "b"):
+        pairs = pairs.hint("merge").join(cores.withColumnsRenamed({"id": f"id_{x}", "core": f"core_{x}"}), f"id_{x}")
+    near = _scored(pairs.select("id_a", "id_b", "core_a", "core_b")).where(F.col("gap") <= SAME_TOWN_GAP)
+    return checkpointed(near.select("id_a", "id_b", "gap", "widest"))
 
 
 def _edges(known: DataFrame, measured: DataFrame) -> DataFrame:
     """a, b: profiles that merge in this round."""
-    places = checkpointed(known.groupBy("entity").agg(F.max("town").alias("town"), F.max("country").alias("country")))
-    at = known.select("form", "entity").join(places, "entity")
-    side = lambda x: at.select(*[F.col(c).alias(f"{c}_{x}") for c in ("form", "entity", "town", "country")])
-    pairs = checkpointed(measured.join(side("a"), "form_a").join(side("b"), "form_b").where("entity_a <> entity_b").drop("form_a", "form_b"))
+    side = lambda x: known.select(*[F.col(c).alias(f"{n}_{x}") for c, n in (("id", "id"), ("entity", "entity"), ("at_town", "town"), ("at_country", "country"))])
+    pairs = measured.hint("merge").join(side("a"), "id_a").hint("merge").join(side("b"), "id_b").where("entity_a <> entity_b").drop("id_a", "id_b")
+    pairs = checkpointed(pairs.groupBy(*[c for c in pairs.columns if c not in ("gap", "widest")]).agg(
+        F.min("gap").alias("gap"), F.min(F.when((F.col("gap") <= NO_TOWN_GAP) & (F.col("widest") <= LONE_WORD_GAP), F.col("gap"))).alias("loose_gap")
+    ))
     in_town = pairs.where("town_a = town_b").select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"))
 
     # A profile without a town goes to the nearest one with a town, if the nearest ones are all of one town.
-    turned = pairs.select(
+    turned = pairs.where("loose_gap is not null and (country_a is null or country_b is null or country_a = country_b)").select(
         *[F.when(F.col("town_a").isNull(), F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{z}")
-          for c in ("entity", "town", "country") for x, y, z in (("a", "b", "a"), ("b", "a", "b"))],
-        "gap",
+          for c in ("entity", "town") for x, y, z in (("a", "b", "a"), ("b", "a", "b"))],
+        F.col("loose_gap").alias("gap"),
     )
-    open_ = turned.where("town_a is null and town_b is not null").where(F.col("gap") <= NO_TOWN_GAP)
-    open_ = checkpointed(open_.where("country_a is null or country_b is null or country_a = country_b"))
-    own = Window.partitionBy("entity_a")
-    nearest = open_.withColumn("least", F.min("gap").over(own)).where("gap = least")
-    nearest = nearest.withColumns({"low": F.min("town_b").over(own), "high": F.max("town_b").over(own)})
-    nearest = nearest.where("low = high").select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"))
+    open_ = turned.where("town_a is null and town_b is not null")
+    towns = open_.groupBy("entity_a", "gap").agg(F.min("town_b").alias("low"), F.max("town_b").alias("high"))
+    towns = towns.groupBy("entity_a").agg(F.min(F.struct("gap", "low", "high")).alias("least")).select("entity_a", "least.*").where("low = high")
+    nearest = open_.join(towns, ["entity_a", "gap"]).select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"))
 
     # Profiles without a town, none of which has a placed one near it, merge with each other.
-    lost = turned.where("town_a is null and town_b is null").where(F.col("gap") <= NO_TOWN_GAP)
+    lost = turned.where("town_a is null and town_b is null").select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"))
     placed = open_.select(F.col("entity_a").alias("entity")).distinct()
-    lost = lost.select(F.col("entity_a").alias("a"), F.col("entity_b").alias("b"))
     lost = lost.join(placed.withColumnRenamed("entity", "a"), "a", "left_anti").join(placed.withColumnRenamed("entity", "b"), "b", "left_anti").select("a", "b")
 
     # Initials go to the one profile of their town that has them: in this order, else in any.
     letters = F.array_join(F.transform(F.col("core"), lambda w: F.substring(w, 1, 1)), "")
-    full = known.where("initials is null and size(core) between 2 and 5").select("entity", letters.alias("letters"))
-    full = full.join(places, "entity").where("town is not null").select("entity", "letters", "town").distinct()
-    short = known.where("initials is not null").select("entity", F.col("initials").alias("letters")).join(places, "entity").where("town is not null")
+    town = F.col("at_town").alias("town")
+    full = known.where("initials is null and size(core) between 2 and 5 and at_town is not null").select("entity", letters.alias("letters"), town).distinct()
+    short = known.where("initials is not null and at_town is not null").select("entity", F.col("initials").alias("letters"), town)
     met = _only_match(short, full, "letters")
     rest = short.join(full.select("letters", "town"), ["letters", "town"], "left_anti")
     met = met.union(_only_match(_sorted_letters(rest), _sorted_letters(full), "letters"))

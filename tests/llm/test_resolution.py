@@ -1,6 +1,8 @@
 import itertools
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tastegrid.llm import names, queries, resolution
@@ -53,9 +55,16 @@ def test_blocks_miss_no_near_pair_of_a_town(spark, data):
             assert (i, j) in got
 
 
-def meet(a, b, hot):
-    x, y = (resolution.block_keys(list(c), hot) for c in (a, b))
-    return bool({k for k, _ in x} & {m for _, m in y})
+def turned(keys, long):
+    """Keys with the turns in which a name asks (``long`` 2) or is met (1)."""
+    return {(k, t) for k, how in keys for t in {resolution.ALL: (0,), resolution.SHORT: (1, 2), resolution.LONG: (long,)}[how]}
+
+
+def meet(a, b, edits):
+    """Whether a name that asks shares a block with the other, and one of the parts into which any such block may fall."""
+    shared = turned(resolution.block_keys(list(a), edits), 2) & turned(resolution.block_keys(list(b), edits), 1)
+    parts = lambda c, k, long: turned(resolution.finer_keys(list(c), k, edits), long)
+    return any(parts(a, k, 2) & parts(b, k, 1) for k, _ in shared)
 
 
 @pytest.mark.parametrize(("a", "b"), [
@@ -65,14 +74,39 @@ def meet(a, b, hot):
 ])
 def test_near_names_meet_however_frequent_their_words_are(a, b):
     assert names.gap(a, b) <= resolution.SAME_TOWN_GAP
-    for hot in ([], ["river"], ["pijuseno"], ["pijuseno", "river", "jane"]):
-        assert meet(a, b, resolution.hot_keys(hot)) and meet(b, a, resolution.hot_keys(hot))
-
-
-def test_hot_words_link(spark, monkeypatch):
-    monkeypatch.setattr(resolution, "HOT_FORMS", 1)
-    rows = [(1, "Pijuseno River Coffee", "Town"), (2, "Piujseno River", "Town"), (3, "Pijuseno Hill", "Town"), (4, "Puporide River", "Town"), (5, "Pijuseno Hill", "Other"), (6, "Piujseno Lake", "Third")]
-    assert pairs(spark, rows) == {(1, 2)}
+    assert meet(a, b, 2) and meet(b, a, 2)
+
+
+@settings(max_examples=300, deadline=None, derandomize=True)
+@given(st.data())
+def test_names_a_few_letters_apart_meet(data):
+    letters = "aeioubcdrst"
+    a = data.draw(st.lists(st.text(letters, min_size=1, max_size=9), min_size=1, max_size=3))
+    b = list(data.draw(st.permutations(a)))
+    for _ in range(data.draw(st.integers(1, 3))):
+        k = data.draw(st.integers(0, len(b) - 1))
+        i, new = data.draw(st.integers(0, len(b[k]))), data.draw(st.sampled_from(["", *letters]))
+        b[k] = data.draw(st.sampled_from([b[k][:i] + new + b[k][i:], b[k][:i] + new + b[k][i + 1 :], b[k][:i] + b[k][i + 1 : i + 2] + b[k][i : i + 1] + b[k][i + 2 :], b[k][:1]])) or b[k]
+    a, b = tuple(a), tuple(b)
+    if a != b and names.gap(a, b) <= resolution.SAME_TOWN_GAP:
+        assert meet(a, b, 2) and meet(b, a, 2)
+    if a != b and names.gap(a, b) <= resolution.NO_TOWN_GAP and names.widest(a, b) <= resolution.LONE_WORD_GAP:
+        assert meet(a, b, 1) and meet(b, a, 1)
+
+
+def test_large_blocks_are_parted(spark, monkeypatch):
+    rows = [(1, "Pijuseno River Coffee", "Town"), (2, "Piujseno River", "Town"), (3, "Pijuseno Hill", "Town"), (4, "Puporide River", "Town"), (5, "Pijuseno Hill", "Other"), (6, "Piujseno Lake", "Third"),
+            (7, "Pijuseno Riverr", None), (8, "P. Lantern Mill", "Town"), (9, "Pamela Lantern Mill", "Town"), (10, "PamelaLantern Mill", None)]
+    whole = pairs(spark, rows)
+    monkeypatch.setattr(resolution, "BLOCK_PAIRS", 0)
+    assert pairs(spark, rows) == whole == all_pairs((1, 2, 7), (8, 9, 10))
+
+
+def test_a_merged_spelling_enters_the_blocks_of_its_town(spark):
+    """The second has no town until it meets the first; the third is near the second only, and two letters apart."""
+    rows = [(1, "Pijuseno Summit", "Town"), (2, "Pijusano Summit", None), (3, "Pitusaro Summit", "Town"), (4, "Pitusaro Summit", "Other")]
+    assert names.gap(("pijuseno", "summit"), ("pitusaro", "summit")) > resolution.SAME_TOWN_GAP
+    assert pairs(spark, rows) == all_pairs((1, 2, 3))
 
 
 def test_without_a_town_no_word_is_two_letters_apart(spark):
