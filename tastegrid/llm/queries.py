@@ -65,6 +65,10 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leak_report(p8_found(spark, sf_dir))
 
 
+def p8_reparameterised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.reparameterised_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.document_subjects(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"), table(spark, sf_dir, "subjects")
@@ -83,6 +87,7 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_report": p8_report,
+    "p8_reparameterised": p8_reparameterised,
     "p9_found": p9_found,
 }
 
