@@ -138,51 +138,70 @@ class Trie:
     def __init__(self) -> None:
         self._root: dict = {}
 
-    def add(self, name: str, entry: int, most: int) -> None:
-        """``most``: the distance at which the name may still be met."""
+    def add(self, name: str, entry: int, most: int, kind: str = "") -> None:
+        """``most``: the distance at which the name may still be met; ``kind``: the searches that it is for."""
         node = self._root
         for c in name:
             node = node.setdefault(c, {})
-        node.setdefault("", []).append((entry, most, name))
+        node.setdefault("", []).append((entry, most, name, kind))
 
-    def search(self, typed: str, distance: int) -> list[tuple[int, int, str]]:
+    def search(self, typed: str, distance: int, kind: str = "") -> list[tuple[int, int, str]]:
         """(distance, entry, name) of every path within ``distance`` of ``typed``.
 
-        The automaton's state is a row: the distance of the path so far to each prefix of ``typed``, cut off above
-        the limit. A state with nothing below the limit accepts no completion.
+        The automaton's state is a band: the distance of the path so far, of i letters, to the prefixes of ``typed`` of
+        i - distance to i + distance letters, cut off above the limit. A state with nothing below the limit accepts no
+        completion. A step costs as many cells as the band has, however long the text is.
         """
         found: list[tuple[int, int, str]] = []
-        top = distance + 1
-        stack = [(self._root, tuple(min(j, top) for j in range(len(typed) + 1)), None, "")]
+        n, top = len(typed), distance + 1
+        start = tuple(j if 0 <= j <= n else top for j in range(-distance, distance + 1))
+        stack = [(self._root, 0, start, None, "")]
         while stack:
-            node, row, before, letter = stack.pop()
-            if row[-1] <= distance:
-                found += [(row[-1], entry, name) for entry, most, name in node.get("", ()) if row[-1] <= most]
+            node, i, band, before, letter = stack.pop()
+            end = n - i + distance
+            if 0 <= end <= 2 * distance and band[end] <= distance:
+                found += [(band[end], entry, name) for entry, most, name, of in node.get("", ()) if of == kind and band[end] <= most]
             for c, child in node.items():
                 if c:
-                    new = self._step(typed, row, before, letter, c, top)
+                    new = self._step(typed, i + 1, distance, band, before, letter, c)
                     if min(new) <= distance:
-                        stack.append((child, new, row, c))
+                        stack.append((child, i + 1, new, band, c))
         return found
 
     @staticmethod
-    def _step(typed: str, row: tuple, before: tuple | None, letter: str, c: str, top: int) -> tuple:
-        new = [min(row[0] + 1, top)]
-        for j, t in enumerate(typed, 1):
-            cost = row[j - 1] if t == c else 1 + min(row[j - 1], row[j], new[j - 1])
-            if before is not None and j > 1 and t == letter and typed[j - 2] == c:
-                cost = min(cost, before[j - 2] + 1)
+    def _step(typed: str, i: int, distance: int, band: tuple, before: tuple | None, letter: str, c: str) -> tuple:
+        """The band after the path's i-th letter ``c``, which comes after ``letter``."""
+        top, new = distance + 1, []
+        for k in range(2 * distance + 1):
+            j = i - distance + k
+            if not 0 <= j <= len(typed):
+                new.append(top)
+                continue
+            cost = top
+            if j:
+                t = typed[j - 1]
+                cost = band[k] if t == c else band[k] + 1
+                if before is not None and j > 1 and t == letter and typed[j - 2] == c:
+                    cost = min(cost, before[k] + 1)
+            if k:
+                cost = min(cost, new[k - 1] + 1)
+            if k < 2 * distance:
+                cost = min(cost, band[k + 1] + 1)
             new.append(min(cost, top))
         return tuple(new)
 
 
+#: Kinds of paths: names that count within a longer text, and such as count only as a whole part of one.
+_INSIDE, _PART = "inside", "part"
+
+
 class CanonicalMatcher:
     """Typed values of one field to reference ids."""
 
     def __init__(self, field: str, entries: list[tuple[int, str, str | None]]) -> None:
         """``entries``: ref_id, canonical, full name or None."""
-        self._exact: dict[str, int] = {}  # names that count within a longer text
-        self._whole: dict[str, int] = {}  # names that count only as a whole part
+        inside: dict[str, int] = {}  # names that count within a longer text
+        part: dict[str, int] = {}  # names that count only as a whole part
         self._names: list[tuple[str, int, int]] = []  # with the distance at which each may still be met
         self._trie = Trie()
         self._around: dict[str, Trie] = {}
@@ -193,21 +212,28 @@ class CanonicalMatcher:
             for name in [n for n in (canonical, full) if n]:
                 key = folded(name)
                 for form in {key, key + "s", key + "es"} if full else {key}:
-                    self._exact[form] = ref
+                    inside[form] = ref
                 self._names.append((key, ref, allowed_distance(len(key))))
         for ref, canonical, _ in entries:
             for alias in aliases.get(canonical, ()):
                 key = folded(alias)
                 for form in {key, key + "s"}:
-                    (self._exact if len(key) > 2 or not key.isascii() else self._whole).setdefault(form, ref)
+                    (inside if len(key) > 2 or not key.isascii() else part).setdefault(form, ref)
                 if len(key) >= 5:
                     self._names.append((key, ref, 1))
             if field == "coffee_origin_country" and canonical in COUNTRY_CODES:
-                self._whole.setdefault(COUNTRY_CODES[canonical].lower(), ref)
+                part.setdefault(COUNTRY_CODES[canonical].lower(), ref)
         for name in self._names:
             self._trie.add(*name)
-        self._longest = max((len(n.split()) for n in self._exact), default=1)
-        self._letters = max(map(len, self._exact), default=0)
+        for kind, forms in ((_INSIDE, inside), (_PART, part)):
+            for form, ref in forms.items():
+                self._trie.add(form, ref, 0, kind)
+        self._longest = max((len(n.split()) for n in inside), default=1)
+        self._letters = max(map(len, inside), default=0)
+
+    def _spelt(self, text: str, *kinds: str) -> int:
+        """The entry of which a text is a name letter for letter, 0 if none."""
+        return next((ref for kind in kinds for _, ref, _ in self._trie.search(text, 0, kind)), 0)
 
     def match(self, value: str) -> int:
         """The ref_id that a value means, 0 if none."""
@@ -221,7 +247,7 @@ class CanonicalMatcher:
     def _match(self, value: str) -> int:
         whole = folded(value)
         parts = [p for p in (folded(x) for x in _parts(value)) if p]
-        named = next(((ref, text) for text in [whole, *parts] if (ref := self._exact.get(text) or self._whole.get(text))), None)
+        named = next(((ref, text) for text in [whole, *parts] if (ref := self._spelt(text, _INSIDE, _PART))), None)
         named = named or self._within(whole)
         if named:
             return self._longer(whole, *named)
@@ -238,8 +264,8 @@ class CanonicalMatcher:
             for i in range(len(words) - n + 1):
                 span = range(i, i + n)
                 name = " ".join(words[i : i + n])
-                ref = self._exact.get(name)
-                if ref and not used.intersection(span):
+                ref = 0 if used.intersection(span) else self._spelt(name, _INSIDE)
+                if ref:
                     used.update(span)
                     refs.setdefault(ref, name)
         return refs.popitem() if len(refs) == 1 else None
