@@ -32,6 +32,8 @@ OTHER_TOPICS = 5
 #: Prior of a sentence in passing on a subject that its document is not labelled with, against 1 for a labelled one.
 IN_PASSING = 0.02
 BEAM = 8
+#: Each subject is a link of the chain; more of them are refused.
+MOST_SUBJECTS = 1_000
 NONE = "none"
 
 _TAG = re.compile(r"<[^<>]{0,300}>")
@@ -231,7 +233,9 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     without an id give no row; without any labelled document nothing is found; equal rows count once; further
     columns are ignored.
     """
-    names = [r.subject for r in subjects.where("subject is not null").select("subject").distinct().limit(1_000).collect()]
+    names = [r.subject for r in subjects.where("subject is not null").select("subject").distinct().limit(MOST_SUBJECTS + 1).collect()]
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"there are more than {MOST_SUBJECTS} subjects")
     rows = training_rows(documents, labels)
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(train(rows, names) if rows and names else None)

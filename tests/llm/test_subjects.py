@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tastegrid.llm import queries, subjects
@@ -41,3 +42,9 @@ def test_one_label_and_sentences(spark):
     labels = spark.createDataFrame([(1, "roasting"), (1, "roasting")], "doc_id bigint, subject string")
     assert subjects.document_subjects(rows, labels, spark.createDataFrame([("roasting",)], "subject string")).count() <= 1
     assert subjects.sentences("<p>One two three.</p>Four five six! https://a.b/c No.\n\nSeven eight nine") == [["one", "two", "three"], ["four", "five", "six"], ["seven", "eight", "nine"]]
+
+
+def test_too_many_subjects_are_refused(spark, data, monkeypatch):
+    monkeypatch.setattr(subjects, "MOST_SUBJECTS", 2)
+    with pytest.raises(ValueError, match="more than 2 subjects"):
+        subjects.document_subjects(table(spark, data, "documents"), table(spark, data, "doc_labels"), table(spark, data, "subjects"))
