@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 # Words that say little about which company it is.
 GENERIC = frozenset(
@@ -41,6 +42,9 @@ COUNTRIES = {
     "indonesia": "id", "id": "id", "netherlands": "nl", "nl": "nl", "brazil": "br", "br": "br", "new zealand": "nz", "nz": "nz",
 }
 
+#: Pairs of words whose gap a worker remembers; frequent words meet often.
+REMEMBERED_WORDS = 100_000
+
 _BLANKS = ("", "nr", "n/a", "na")
 
 
@@ -115,6 +119,7 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+@lru_cache(maxsize=REMEMBERED_WORDS)
 def word_gap(a: str, b: str) -> float:
     """0 for equal words, up to 2 for typos, 0.5 for an abbreviation or an initial, 9 for different words."""
     if a == b:
@@ -132,31 +137,30 @@ def word_gap(a: str, b: str) -> float:
     return d if d <= most else 9
 
 
-def gap(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """How far two spellings' telling words are apart in any order; 9 and more if they are different names."""
+def gaps(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, float]:
+    """How far two spellings' telling words are apart in any order, 9 and more if they are different names; and how far
+    those two words are that are furthest apart, 0 for names of other numbers of words."""
     if a == b:
-        return 0
+        return 0, 0
     if sorted(a) == sorted(b):
-        return 0.1
+        return 0.1, 0
     if len(a) != len(b):
         joined = distance("".join(a), "".join(b), 1)
-        return 0.3 + joined if joined <= 1 else 9
-    total, rest, swapped = 0.0, list(b), False
-    for k, w in enumerate(a):
-        best = min(range(len(rest)), key=lambda j: (word_gap(w, rest[j]), j))
-        total += word_gap(w, rest[best])
-        swapped |= b[k] != rest[best]
-        del rest[best]
+        return (0.3 + joined if joined <= 1 else 9), 0
+    total, most, rest = 0.0, 0.0, list(b)
+    for w in a:
+        near = [word_gap(w, x) for x in rest]
+        least = min(near)
+        del rest[near.index(least)]
+        total, most = total + least, max(most, least)
         if total >= 9:
-            return 9
-    return total
+            break
+    return total, most
+
+
+def gap(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    return gaps(a, b)[0]
 
 
 def widest(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """The greatest gap between two words that ``gap`` holds against each other; 0 for names of other numbers of words."""
-    most, rest = 0.0, list(b)
-    for w in a if len(a) == len(b) else ():
-        best = min(range(len(rest)), key=lambda j: (word_gap(w, rest[j]), j))
-        most = max(most, word_gap(w, rest[best]))
-        del rest[best]
-    return most
+    return gaps(a, b)[1]

@@ -176,10 +176,12 @@ def _meeting(met: DataFrame, known: DataFrame) -> DataFrame:
 
     def side(x: str, long: int) -> DataFrame:
         turned = rows.withColumn("turn", F.explode(turns("how", long))).withColumn("finer_turn", F.explode(turns("finer", long)))
-        return turned.select("block", "turn", "finer_turn", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "asks", "words")])
+        # One number to meet by and one for the flags keep what is shuffled and sorted short.
+        flags = F.col("words") * 2 + F.col("asks").cast("int")
+        return turned.select(F.xxhash64("block", "turn", "finer_turn").alias("block"), F.col("id").alias(f"id_{x}"), flags.alias(f"flags_{x}"))
 
-    both = side("l", 2).where("asks_l").hint("merge").join(side("r", 1), ["block", "turn", "finer_turn"])
-    both = both.where("(id_l < id_r or (id_l > id_r and not asks_r)) and (words_l = 0 or words_l <> words_r)")
+    both = side("l", 2).where("flags_l % 2 = 1").hint("merge").join(side("r", 1), "block")
+    both = both.where("(id_l < id_r or (id_l > id_r and flags_r % 2 = 0)) and (flags_l < 2 or flags_l div 2 <> flags_r div 2)")
     return both.select(F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b")).distinct()
 
 
@@ -189,9 +191,9 @@ def _scored(pairs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("core_a").to_pylist(), batch.column("core_b").to_pylist()
-            gaps = pa.array([float(names.gap(tuple(x), tuple(y))) for x, y in zip(a, b, strict=True)], pa.float64())
-            wide = pa.array([float(names.widest(tuple(x), tuple(y))) for x, y in zip(a, b, strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, gaps, wide], [*batch.schema.names, "gap", "widest"])
+            gaps = [names.gaps(tuple(x), tuple(y)) for x, y in zip(a, b, strict=True)]
+            columns = [pa.array([float(g[k]) for g in gaps], pa.float64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "gap", "widest"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
     return pairs.mapInArrow(score, f"{fields}, gap double, widest double")
@@ -239,10 +241,13 @@ def _merged(known: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _measured(known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id_a, id_b, gap, widest of the pairs within SAME_TOWN_GAP."""
-    cores = known.select("id", "core")
-    for x in ("a", "b"):
-        pairs = pairs.hint("merge").join(cores.withColumnsRenamed({"id": f"id_{x}", "core": f"core_{x}"}), f"id_{x}")
+    """id_a, id_b, gap, widest of the pairs within SAME_TOWN_GAP.
+
+    They are measured where the second join leaves them, in as many parts as a shuffle has: few bytes, much to do.
+    """
+    cores, parts = known.select("id", "core"), int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.hint("merge").join(cores.withColumnsRenamed({"id": "id_a", "core": "core_a"}), "id_a").repartition(parts, "id_b")
+    pairs = pairs.hint("merge").join(cores.withColumnsRenamed({"id": "id_b", "core": "core_b"}).repartition(parts, "id_b"), "id_b")
     near = _scored(pairs.select("id_a", "id_b", "core_a", "core_b")).where(F.col("gap") <= SAME_TOWN_GAP)
     return checkpointed(near.select("id_a", "id_b", "gap", "widest"))
 
