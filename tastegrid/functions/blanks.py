@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 # Whole-cell markers of a missing value, compared after trimming.
 BLANK_MARKERS = ("", "NR", "N/A", "NA", "na")
 
-_EDGES = r"(?U)^[\s\p{Z}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{200B}\x{FEFF}]+$"
+_SPACE = r"[\s\p{Z}\x{200B}\x{FEFF}]"
+#: What ends a text begins after something else, so that a long run of spaces within it is read once.
+_EDGES = rf"(?U)^{_SPACE}++|(?<!{_SPACE}){_SPACE}++$"
 
 
 def utrim(text: Column) -> Column:

@@ -13,7 +13,7 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def lenient_double(text: Column) -> Column:
     """A number written in a text as DOUBLE, null for everything else (also for suffixes such as ``9d``)."""
-    trimmed = F.regexp_replace(text, r"(?U)^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    trimmed = F.regexp_replace(text, r"(?U)^[\s\p{Z}]++|(?<![\s\p{Z}])[\s\p{Z}]++$", "")
     return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
 
 

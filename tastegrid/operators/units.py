@@ -183,7 +183,7 @@ def tidy(text: Column) -> Column:
 
 def currency_key(text: Column) -> Column:
     """The spelling of a currency as the table of spellings has it."""
-    return F.regexp_replace(F.upper(F.replace(text, F.lit("$"), F.lit(""))), r"(?U)[\s\p{Z}]+|\.+$", "")
+    return F.regexp_replace(F.upper(F.replace(text, F.lit("$"), F.lit(""))), r"(?U)[\s\p{Z}]+|(?<!\.)\.++$", "")
 
 
 def _group(text: str, pattern: str, group: int) -> Column:

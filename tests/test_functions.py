@@ -19,6 +19,12 @@ def test_blanks(spark, text, blank):
     assert (one(spark, text, blanks.unblank) is None) is blank
 
 
+def test_long_runs_of_spaces_are_read_once(spark):
+    text = "\u00a0a" + " " * 300_000 + "b \u200b\n"
+    assert one(spark, text, blanks.utrim) == text[1:-3] and one(spark, text, numeric.lenient_double) is None
+    assert one(spark, " " * 300_000, blanks.is_blank) is True
+
+
 @pytest.mark.parametrize(("text", "value"), [("9", 9.0), (" 9.5 ", 9.5), (".5", 0.5), ("1e2", 100.0), ("9d", None), ("9f", None), ("Very Low", None), ("", None), (None, None), ("1,5", None)])
 def test_lenient_double(spark, text, value):
     assert one(spark, text, numeric.lenient_double) == value
