@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from tastegrid.functions.blanks import BLANK_MARKERS, is_blank, utrim
 from tastegrid.functions.runtime import checkpointed
 
-#: Parts into which the cells of one file and field are split for joins, so that a hot file is no single task.
-SALTS = 16
+#: The fields looked for in each file are broadcast for so many files, some tens of megabytes; beyond it records are joined with them.
+BROADCAST_FILES = 100_000
 
 # Canonical columns of a review, their types, and the names under which files carry them.
 REVIEW_ALIASES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -47,14 +47,17 @@ def _fields(record: Column) -> Column:
 
 
 def cells(records: DataFrame) -> DataFrame:
-    """file_id, url, field, kind, value: one row per key of a JSON object; blanks have no kind.
+    """file_id, field, kind: one row per key of a JSON object; blanks have no kind.
 
     kind is 3 for text, 2 for numbers written with a point, 1 for whole numbers, 0 for true and false.
     """
-    parsed = records.where("file_id is not null").select("file_id", _fields(F.col("record")).alias("fields")).where("fields is not null")
-    rows = parsed.select("file_id", F.try_element_at("fields", F.lit("url")).cast("string").alias("url"), F.explode("fields").alias("field", "v"))
+    parsed = records.where("file_id is not null").select("file_id", F.explode(_fields(F.col("record"))).alias("field", "v"))
+    return parsed.select("file_id", "field", _kind().alias("kind"))
+
+
+def _kind() -> Column:
     schema, text = F.schema_of_variant("v"), F.col("v").cast("string")
-    kind = (
+    return (
         F.when(schema == "VOID", F.lit(None))
         .when(schema == "STRING", F.when(~is_blank(text), F.lit(3)))
         .when(schema == "BOOLEAN", F.lit(0))
@@ -62,8 +65,23 @@ def cells(records: DataFrame) -> DataFrame:
         .when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.lit(2))
         .otherwise(F.lit(3))
     )
-    plain = F.when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT|BIGINT)"), F.col("v").try_cast("double").cast("string")).otherwise(text)
-    return rows.select("file_id", "url", "field", kind.alias("kind"), plain.alias("value"))
+
+
+def _filled(records: DataFrame, wanted: DataFrame, role: str) -> DataFrame:
+    """file_id, url, and field, kind and value named by the role: the non-blank cells under the fields wanted in each file.
+
+    ``wanted``: at_id, the file; file_id, whose change is looked into; fields. Only records of these files are parsed, and
+    only these fields are unpacked.
+    """
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_FILES else wanted
+    lines = records.select(F.col("file_id").alias("at_id"), "record")
+    of_files = lines.join(few, "at_id").select("file_id", "fields", _fields(F.col("record")).alias("all"))
+    url = F.try_element_at("all", F.lit("url")).cast("string")
+    rows = of_files.select("file_id", url.alias("url"), F.explode(F.map_filter("all", lambda k, _: F.array_contains("fields", k))).alias("field", "v"))
+    number = F.col("kind").isin(1, 2)
+    typed = rows.where("url is not null").select("file_id", "url", "field", _kind().alias("kind"), "v").where("kind is not null")
+    value = F.when(number, F.col("v").try_cast("double").cast("string")).otherwise(F.col("v").cast("string"))
+    return typed.select("file_id", "url", F.col("field").alias(f"{role}_field"), (F.col("kind") == 3).alias(f"{role}_text"), value.alias(f"{role}_value"))
 
 
 def field_catalogue(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -118,7 +136,7 @@ def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
     came = came.join(pairs, "file_id")
     went = log.where("after_seq is null or after_seq > file_seq + 1").select(F.col("file_id").alias("old_id"), F.col("field").alias("old_field"))
     went = went.join(pairs, "old_id")
-    renamed = checkpointed(_renamed(cells(records), came, went))
+    renamed = checkpointed(_renamed(records, came, went))
     added = came.join(renamed, ["file_id", "new_field"], "left_anti").select(
         "file_id", F.lit("added").alias("change"), F.lit("").alias("old_field"), "new_field"
     )
@@ -129,32 +147,19 @@ def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
     return retyped.unionByName(named).unionByName(added).unionByName(removed).distinct()
 
 
-def _renamed(data: DataFrame, came: DataFrame, went: DataFrame) -> DataFrame:
+def _renamed(records: DataFrame, came: DataFrame, went: DataFrame) -> DataFrame:
     """file_id, old_field, new_field: a field that went and one that came, equal in every review that both files carry.
 
-    Where several would do, the pair with more such reviews goes first, then the names in order.
+    Where a field that went equals several that came, or the other way round, each of them is one.
     """
-    candidates = went.select("file_id", "old_id", "old_field").join(came.select("file_id", "new_field"), "file_id")
-    concerned = candidates.select("file_id", F.col("new_field").alias("field")).union(candidates.select("old_id", "old_field")).distinct()
-    filled = data.where("kind is not null and url is not null").join(concerned, ["file_id", "field"], "left_semi").select(
-        "file_id", "field", "url", "kind", "value", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt")
-    )
-    salted = candidates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = (F.col("n.value") == F.col("o.value")) & ((F.col("n.kind") == 3) == (F.col("o.kind") == 3))
-    old = filled.withColumnsRenamed({"file_id": "old_id", "field": "old_field"})
-    new = filled.withColumnsRenamed({"field": "new_field"})
-    left = salted.join(old, ["old_id", "old_field", "salt"])
-    met = left.alias("o").join(new.alias("n"), ["file_id", "new_field", "url"]).groupBy("file_id", "old_field", "new_field")
-    equal = met.agg(F.count("*").alias("reviews"), F.bool_and(same).alias("all_equal")).where("all_equal")
-    order = [F.desc("reviews"), F.col("old_field"), F.col("new_field")]
-    return (
-        equal.withColumns({
-            "of_old": F.row_number().over(Window.partitionBy("file_id", "old_field").orderBy(*order)),
-            "of_new": F.row_number().over(Window.partitionBy("file_id", "new_field").orderBy(*order)),
-        })
-        .where("of_old = 1 and of_new = 1")
-        .select("file_id", "old_field", "new_field")
-    )
+    new = came.groupBy("file_id").agg(F.collect_set("new_field").alias("fields"))  # no more than a file has fields
+    old = went.groupBy("file_id", F.col("old_id").alias("at_id")).agg(F.collect_set("old_field").alias("fields"))
+    wanted = new.join(old.select("file_id").distinct(), "file_id", "left_semi").select(F.col("file_id").alias("at_id"), "file_id", "fields", F.lit("new").alias("role"))
+    wanted = checkpointed(wanted.union(old.join(new, "file_id", "left_semi").select("at_id", "file_id", "fields", F.lit("old"))))
+    had, has = (_filled(records, wanted.where(F.col("role") == role).drop("role"), role) for role in ("old", "new"))
+    met = had.join(has, ["file_id", "url"]).groupBy("file_id", "old_field", "new_field")
+    same = (F.col("new_value") == F.col("old_value")) & (F.col("new_text") == F.col("old_text"))
+    return met.agg(F.bool_and(same).alias("all_equal")).where("all_equal").drop("all_equal")
 
 
 def consistent_table(files: DataFrame, records: DataFrame, aliases: dict[str, tuple[str, tuple[str, ...]]] = REVIEW_ALIASES) -> DataFrame:

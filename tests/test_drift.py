@@ -93,6 +93,19 @@ def test_missing_predecessor_empty_file_and_gaps(spark):
     assert got == brute([f for f in files if f[1] and f[2]], records)
 
 
+def test_fields_that_equal_several(spark):
+    files = [(1, "f", 1), (2, "f", 2)]
+    records = [*lines(1, {"url": "a", "A": 1, "B": 1, "C": 2}, {"url": None, "A": 9}), *lines(2, {"url": "a", "X": 1.0, "Y": 1, "Z": "2"}, {"url": None, "X": 8})]
+    got = changes(spark, files, records)
+    assert got == brute(files, records) and {c for c in got if c[1] == "renamed"} == {(2, "renamed", a, b) for a in "AB" for b in "XY"}
+
+
+def test_files_beyond_the_broadcast(spark, data, monkeypatch):
+    whole = {tuple(r) for r in core.p1_found(spark, data).collect()}
+    monkeypatch.setattr(drift, "BROADCAST_FILES", 0)
+    assert {tuple(r) for r in core.p1_found(spark, data).collect()} == whole
+
+
 def test_empty_tables_and_extra_columns(spark):
     assert changes(spark, [], []) == set()
     files = spark.createDataFrame([(1, "f", 1), (2, "f", 2)], FILES).withColumns({"field": F.lit("x"), "kind": F.lit(1), "url": F.lit("u")})
