@@ -146,6 +146,8 @@ _NUMBER = rf"(?:{_DIGITS}\s*/\s*{_DIGITS}|{_DIGITS}\s*[½¼¾⅓⅔]|{_DIGITS}|(
 _UNITS = "|".join(sorted((s for words in WEIGHT_SPELLINGS.values() for s in words), key=lambda w: (-len(w), w)))
 _UNIT = rf"(?:{_UNITS})(?![a-z])"
 _WEIGHT = rf"^(?:({_NUMBER})?\s*[x×]\s*)?({_NUMBER})?[\s-]*({_UNIT})[.*]*(?:\s*(?:and\s+)?({_NUMBER})\s*({_UNIT})[.*]*)?(?:[\s-].*)?$"
+#: Stands between the groups of a pattern; in a text it counts as a blank.
+_MARK = "\x01"
 _PRICE = rf"^([^0-9]*?)\s*({_DIGITS})\s*([^0-9]*)$"
 
 
@@ -186,28 +188,42 @@ def currency_key(text: Column) -> Column:
     return F.regexp_replace(F.upper(F.replace(text, F.lit("$"), F.lit(""))), r"(?U)[\s\p{Z}]+|(?<!\.)\.++$", "")
 
 
-def _group(text: str, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of a pattern that matches the whole text, as an array, '' for groups that took no part; an
+    empty array where it doesn't match. The pattern is run once for all groups."""
+    plain = F.translate(text, _MARK, " ")
+    marked = F.regexp_replace(plain, pattern, _MARK + _MARK.join(f"${g}" for g in range(1, n + 1)))
+    return F.when(F.startswith(marked, F.lit(_MARK)), F.split(F.substr(marked, F.lit(2)), _MARK)).otherwise(F.array().cast("array<string>"))
+
+
+def _group(groups: str, g: int) -> Column:
+    return F.nullif(F.get(groups, F.lit(g - 1)), F.lit(""))
+
+
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are worked out once: filters on them are not pushed below them with a copy of
+    the expression, as they are below a projection."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def with_weight(df: DataFrame, text: str) -> DataFrame:
     """Adds amount, spelt_unit, more, spelt_more: what the written weight in the column ``text`` says.
 
     ``2 x 12 oz`` gives 24 oz, ``1 lb 4 oz`` has 4 oz more. A text that is no weight (pieces, volumes, nothing)
-    gives null units. The steps are projections of their own, so that no expression is repeated in another.
+    gives null units.
     """
     volume = F.col(text).rlike(r"\bfl(uid|\.)?\b|\bmls?\b|\bliters?\b|\blitres?\b")
-    df = df.withColumn(text, tidy(F.col(text)))
-    df = df.withColumns({
-        "w_numbers": numbers(*[_group(text, _WEIGHT, g) for g in (1, 2, 4)]),
-        "spelt_unit": F.when(~volume, _group(text, _WEIGHT, 3)), "spelt_more": _group(text, _WEIGHT, 5),
-        "w_bare": _group(text, _WEIGHT, 2).isNull(),
-    })
+    df = _settled(df, **{text: tidy(F.col(text))})
+    df = _settled(df, w_groups=_groups(F.col(text), _WEIGHT, 5), w_volume=volume)
+    df = _settled(
+        df, w_numbers=numbers(*[_group("w_groups", g) for g in (1, 2, 4)]), spelt_unit=F.when(~F.col("w_volume"), _group("w_groups", 3)),
+        spelt_more=_group("w_groups", 5), w_bare=_group("w_groups", 2).isNull(),
+    )
     times = F.coalesce(F.get("w_numbers", F.lit(0)), F.lit(1.0))
     return df.withColumns({
         "amount": times * F.when(F.col("w_bare"), F.lit(1.0)).otherwise(F.get("w_numbers", F.lit(1))),
         "more": times * F.get("w_numbers", F.lit(2)),
-    }).drop("w_numbers", "w_bare")
+    }).drop("w_groups", "w_volume", "w_numbers", "w_bare")
 
 
 def readings(quotes: DataFrame) -> DataFrame:
@@ -232,12 +248,12 @@ def readings(quotes: DataFrame) -> DataFrame:
         F.coalesce(F.col("quantity_value").cast("double"), F.lit(1.0)).alias("times"), F.col("quantity_unit").alias("weight_text"),
     )
     rows = both.select("quote_id", "month", F.inline(F.array(written, split))).where("weight_text is not null")
-    rows = rows.withColumn("number_text", _group("price_text", _PRICE, 2)).withColumns({
-        "price": F.when(F.col("reading") == 0, F.get(numbers(F.col("number_text")), F.lit(0))).otherwise(F.col("value")),
-        "spelt_currency": currency_key(
-            F.when(F.col("reading") == 1, F.col("currency_text")).when(
-                F.col("number_text").isNotNull(), F.regexp_replace("price_text", _PRICE, "$1 $3"))),
-    })
+    rows = _settled(rows, p_groups=F.when(F.col("reading") == 0, _groups(F.col("price_text"), _PRICE, 3)))
+    written_money = F.when(_group("p_groups", 2).isNotNull(), F.concat_ws(" ", F.get("p_groups", F.lit(0)), F.get("p_groups", F.lit(2))))
+    rows = _settled(
+        rows, price=F.when(F.col("reading") == 0, F.get(numbers(_group("p_groups", 2)), F.lit(0))).otherwise(F.col("value")),
+        spelt_currency=currency_key(F.when(F.col("reading") == 1, F.col("currency_text")).otherwise(written_money)),
+    )
     rows = with_weight(rows.where("price > 0 and spelt_currency is not null"), "weight_text")
     return rows.select(
         "quote_id", "month", "reading", "price", "spelt_currency", (F.col("times") * F.col("amount")).alias("amount"),
