@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tastegrid.functions.numeric import ranked
 from tastegrid.functions.runtime import checkpointed
@@ -14,6 +16,8 @@ from tastegrid.functions.strings import lookup, strip_accents
 from tastegrid.operators.graph import components
 
 AUTO, REVIEW = 92.0, 82.0
+#: Parts of a band of lengths: there are few lengths, but many keys of each.
+BAND_SALTS = 16
 
 # Words that say little about which company it is, and abbreviations written out before.
 STOP_WORDS = (
@@ -98,24 +102,44 @@ def exact_clusters(names: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("tokens", name_tokens(F.col("raw_name"))).withColumn("core_key", core_key(F.col("tokens"))).drop("tokens")
 
 
+def _kinds_of_letters(key: Column) -> Column:
+    """A bit for each letter and digit that a key has."""
+    bits = [F.when(F.contains(key, F.lit(c)), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
 def key_pairs(keys: DataFrame, least: float = REVIEW) -> DataFrame:
     """core_a, core_b, score of every two distinct keys that score at least ``least``; core_a < core_b.
 
-    Not all pairs are scored, but none is missed: keys with a common word meet by it; keys without one can only score
-    by their letters, which their lengths bound, so they meet in bands of length where the bound allows it.
+    Not all pairs are scored, but none is missed. Two keys score by the words that they share, which then cover a
+    share of one of them: so at least one of its rarest words, without which the rest covers less, is in the other.
+    Or they score by letters, which their lengths bound: they meet in bands of length where the bound allows it, and
+    are scored if no more kinds of letters differ than the score allows, and they share a word or no more letters do.
     """
-    sized = keys.select("core_key", F.length("core_key").alias("size"), F.split("core_key", " ").alias("words"))
-    words = sized.select("core_key", F.explode(F.array_distinct("words")).alias("word"))
+    sized = keys.select("core_key", F.length("core_key").alias("size"), F.array_distinct(F.split("core_key", " ")).alias("words"), _kinds_of_letters(F.col("core_key")).alias("kinds"))
+    words = sized.select("core_key", "size", F.explode("words").alias("word"))
+    counted = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
+    onwards = Window.partitionBy("core_key").orderBy("n", "word").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # of one key's words
+    covered = F.sum(F.length("word") + 1).over(onwards) - 1
+    rarest = counted.withColumn("covered", covered).where(F.col("covered") >= F.col("size") * (least / (200.0 - least)) - 1e-9)
     side = lambda df, x: df.withColumnRenamed("core_key", f"core_{x}")
-    shared = side(words, "a").join(side(words, "b"), "word").where("core_a < core_b").select("core_a", "core_b")
-    # Without a common word the score is 100 * (1 - indel / (la + lb)), so at most 200 * min / (la + lb).
+    shared = side(rarest.select("core_key", "word"), "a").join(side(words.select("core_key", "word"), "b"), "word")
+    # By letters, the score is 100 * (1 - indel / (la + lb)), so at most 200 * min / (la + lb).
     ratio = (200.0 - least) / least
     near = sized.withColumn("band", F.explode(F.sequence(F.col("size"), F.ceil(F.col("size") * ratio).cast("int"))))
-    pair = side(sized.drop("words"), "a").withColumnRenamed("size", "size_a").withColumn("band", F.col("size_a"))
-    other = side(near.drop("words"), "b").withColumnRenamed("size", "size_b")
-    bounded = pair.join(other, "band").where("core_a <> core_b").where(200.0 * F.col("size_b") / (F.col("size_a") + F.col("size_b")) >= least)
-    unshared = bounded.select(F.least("core_a", "core_b").alias("core_a"), F.greatest("core_a", "core_b").alias("core_b"))
-    candidates = shared.union(unshared).distinct()
+    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(BAND_SALTS - 1))))
+    named = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in ("size", "words", "kinds")} | {"core_key": f"core_{x}"})
+    pair = named(sized, "a").withColumns({"band": F.col("size_a"), "salt": F.pmod(F.hash("core_a"), F.lit(BAND_SALTS))})
+    other = named(near, "b")
+    # Few bytes, but much to compare: as many parts as a shuffle has, whatever their size.
+    pair = pair.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "salt")
+    letters = F.col("size_a") + F.col("size_b")
+    bounded = pair.join(other, ["band", "salt"]).where("size_a > size_b or core_a < core_b").where(200.0 * F.col("size_b") / letters >= least)
+    allowed = F.floor(letters * (1 - least / 100) + 1e-9).cast("int")
+    bounded = bounded.where(F.bit_count(F.col("kinds_a").bitwiseXOR(F.col("kinds_b"))) <= allowed)
+    bounded = bounded.where((F.levenshtein("core_a", "core_b") <= allowed) | F.arrays_overlap("words_a", "words_b"))
+    met = shared.select("core_a", "core_b").union(bounded.select("core_a", "core_b")).where("core_a <> core_b")
+    candidates = met.select(F.least("core_a", "core_b").alias("core_a"), F.greatest("core_a", "core_b").alias("core_b")).distinct()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

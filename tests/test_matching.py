@@ -50,6 +50,17 @@ def test_no_pair_is_missed(spark):
     assert got == {(a, b) for a, b in itertools.combinations(keys, 2) if matching.key_score(a, b) >= matching.REVIEW}
 
 
+@pytest.mark.parametrize("least", [60.0, 82.0, 92.0])
+def test_no_pair_of_random_keys_is_missed(spark, least):
+    import random
+
+    rng = random.Random(3)
+    stock = ["bay", "river", "rivers", "oak", "mill", "mille", "a", "ab", "hollow", "lantern", "lantetn", "red", "zed"]
+    keys = sorted({" ".join(sorted(set(rng.choices(stock, k=rng.randint(1, 4))))) for _ in range(150)})
+    got = {(r.core_a, r.core_b) for r in matching.key_pairs(spark.createDataFrame([(k,) for k in keys], "core_key string"), least).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(keys, 2) if matching.key_score(a, b) >= least}
+
+
 def test_crosswalk(names):
     table, queue = matching.crosswalk(names, "roaster")
     rows = {r.raw_name: r for r in table.collect()}
