@@ -46,12 +46,17 @@ def group_mean_max(df: DataFrame, key: str, value: str) -> DataFrame:
     return stats.unpivot(key, ["mean", "max"], "stat", value)
 
 
-def sample_per_group(df: DataFrame, key: str, n: int, seed: int, *identity: str) -> DataFrame:
+def sample_per_group(df: DataFrame, key: str, n: int, seed: int, *identity: str, replace: bool = False) -> DataFrame:
     """Up to ``n`` rows of each group, the same ones for the same seed; rows with a null key are left out.
 
     Each task keeps the n least of a hash of ``identity`` in each of its groups before anything is shuffled, so that a
-    hot group is no single task. Rows with equal identities are ordered by the whole row.
+    hot group is no single task. Rows with equal identities are ordered by the whole row. With ``replace``, n rows are
+    drawn from each group, each from all of it: the least of a hash of its own.
     """
+    if replace:
+        draws = df.where(F.col(key).isNotNull()).select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_draw"))
+        row = F.struct(F.xxhash64(*identity, F.lit(seed), "_draw").alias("_h"), *[F.col(f"`{c}`") for c in df.columns])
+        return draws.groupBy(F.col(key).alias("_key"), "_draw").agg(F.min(row).alias("_row")).select("_row.*").drop("_h")
     rows = F.struct(F.xxhash64(*identity, F.lit(seed)).alias("_h"), *[F.col(f"`{c}`") for c in df.columns])
     salted = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.spark_partition_id().alias("_part"), rows.alias("_row"))
     least = lambda d, *by: d.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("_row")), 1, n).alias("_rows"))
@@ -71,11 +76,26 @@ def describe(df: DataFrame, *columns: str) -> DataFrame:
     return row.select(F.inline(F.array(*cells)))
 
 
-def histogram(df: DataFrame, value: str, bins: int = 100, density: bool = False) -> DataFrame:
+def automatic_bins(df: DataFrame, value: str) -> int:
+    """Number of equal bins from the narrower of the widths by Freedman and Diaconis, but no narrower than half that by
+    the square root, and by Sturges; whole numbers get none narrower than 1. One bin for no values or one value."""
+    x = F.col(value).cast("double")
+    s = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("iqr")).first()
+    if not s["n"] or s["lo"] == s["hi"]:
+        return 1
+    span = s["hi"] - s["lo"]
+    width = min(span / (math.log2(s["n"]) + 1), max(2 * s["iqr"] / s["n"] ** (1 / 3), span / math.sqrt(s["n"]) / 2))
+    if isinstance(df.schema[value].dataType, T.IntegralType):
+        width = max(width, 1.0)
+    return max(1, math.ceil(span / width))
+
+
+def histogram(df: DataFrame, value: str, bins: int | None = 100, density: bool = False) -> DataFrame:
     """bin, low, high and n (or density): equal bins from min to max, the max in the last one; empty bins too.
 
-    Two passes: the bounds are one row, the counts as many rows as there are bins.
+    Two passes: the bounds are one row, the counts as many rows as there are bins. None: ``automatic_bins``.
     """
+    bins = automatic_bins(df, value) if bins is None else bins
     known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
     bounds = known.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("all")).first()
     if not bounds["all"]:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -26,6 +27,44 @@ def porter(words: Column) -> Column:
     return stem_all(words)
 
 
+# First letters of part-of-speech tags and the word classes that a lexicon of lemmas is kept by.
+WORD_CLASSES = {"J": "a", "V": "v", "N": "n", "R": "r"}
+
+
+def word_class(tag: str | None) -> str:
+    """The class of a part-of-speech tag; everything else is a noun."""
+    return WORD_CLASSES.get((tag or "")[:1], "n")
+
+
+def lexicon(lemmas: Mapping[tuple[str, str], str], tagger: Callable[[list[str]], list[str]] | None = None, adverbs: bool = True) -> Analyzer:
+    """An analyzer that gives each word the lemma kept for it and its class; words without one stay.
+
+    ``tagger`` gives the tags of a text's words in order, without it all are nouns; without ``adverbs``, words tagged
+    R... are left out. Both are shipped with the function, so a lexicon should be of moderate size.
+    """
+
+    def lemma_all(texts: pd.Series) -> pd.Series:
+        def of(tokens):
+            tags = tagger(list(tokens)) if tagger else ["N"] * len(tokens)
+            return [lemmas.get((w, word_class(t)), w) for w, t in zip(tokens, tags, strict=True) if adverbs or not t.startswith("R")]
+
+        return texts.map(of, na_action="ignore")
+
+    return F.pandas_udf(lemma_all, "array<string>")
+
+
+def analyzer(kind: str | Mapping[tuple[str, str], str] | Callable[[Column], Column]) -> Analyzer:
+    """``identity`` or ``porter`` by name, a lexicon of lemmas, or an analyzer itself; anything else is an error."""
+    named = {"identity": identity, "porter": porter}
+    if isinstance(kind, str) and kind in named:
+        return named[kind]
+    if isinstance(kind, Mapping):
+        return lexicon(kind)
+    if callable(kind):
+        return kind
+    raise TypeError(f"no analyzer: {kind!r}")
+
+
 def words(text: Column) -> Column:
     """Words of a text: lower case, everything but a-z is blank; an empty array for an empty text, null for null."""
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")

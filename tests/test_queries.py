@@ -65,3 +65,39 @@ def test_lazy_explore(spark):
     vectors = spark.createDataFrame([([3.0, 0.0],), ([0.0, 4.0],), (None,)], "e array<double>")
     values = [r.singular_value for r in textfeatures.truncated_svd(vectors, "e", 2).orderBy("component").collect()]
     assert values == pytest.approx([4.0, 3.0])
+
+
+def test_drawing_with_replacement(spark):
+    from tastegrid.operators import explore
+
+    df = spark.createDataFrame([("a", k) for k in range(3)] + [("b", 9), (None, 1)], "k string, v int")
+    got = sorted(map(tuple, explore.sample_per_group(df, "k", 20, 7, "v", replace=True).collect()))
+    assert got == sorted(map(tuple, explore.sample_per_group(df, "k", 20, 7, "v", replace=True).collect()))
+    assert len(got) == 40 and got.count(("b", 9)) == 20 and {v for k, v in got if k == "a"} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("values", [[float(x * x % 97) for x in range(200)], [1.0] * 50 + [2.0], [3.0]])
+def test_automatic_bins(spark, values):
+    import numpy as np
+
+    from tastegrid.operators import explore
+
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    assert explore.automatic_bins(df, "v") == len(np.histogram_bin_edges(values, "auto")) - 1
+    assert [r.n for r in explore.histogram(df, "v", None).orderBy("bin").collect()] == np.histogram(values, "auto")[0].tolist()
+
+
+def test_analyzers(spark):
+    from pyspark.sql import functions as F
+
+    from tastegrid.operators import textfeatures as t
+
+    lemmas = {("cups", "n"): "cup", ("was", "v"): "be"}
+    tags = {"was": "VBD", "very": "RB"}
+    df = spark.createDataFrame([("The cups, it was very",), (None,), ("",)], "x string").select(t.words(F.col("x")).alias("w"))
+    out = lambda a: [r[0] for r in df.select(a(F.col("w"))).collect()]
+    assert out(t.analyzer(lemmas)) == [["the", "cup", "it", "was", "very"], None, []]
+    assert out(t.lexicon(lemmas, lambda ws: [tags.get(w, "NN") for w in ws], adverbs=False)) == [["the", "cup", "it", "be"], None, []]
+    assert t.analyzer("porter") is t.porter and t.analyzer(t.identity) is t.identity and [t.word_class(x) for x in ("JJ", "VBZ", "NNS", "RBR", "DT", None)] == ["a", "v", "n", "r", "n", "n"]
+    with pytest.raises(TypeError):
+        t.analyzer("other")
