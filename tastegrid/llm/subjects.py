@@ -27,6 +27,8 @@ TRAINING_DOCUMENTS = 5_000
 #: Features that the sentence model keeps: those of the most training sentences.
 MOST_FEATURES = 60_000
 EM_ROUNDS = 12
+#: Features whose shares are summed up at once, some tens of megabytes, however long texts are.
+FEATURES_AT_ONCE = 100_000
 #: Topics for sentences that deal with no subject: small talk, quoted matter and the like have different words.
 OTHER_TOPICS = 5
 #: Prior of a sentence in passing on a subject that its document is not labelled with, against 1 for a labelled one.
@@ -72,23 +74,31 @@ class SubjectModel:
 
     def sentence_posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Posterior of every sentence over the subjects and the other topics, and the document it is in."""
-        ids, ends, owner = [], [], []
+        ids, ends, owner, parts = [], [], [], []
         known = self.vocabulary
         for d, text in enumerate(texts):
             for w in sentences(text) if text else ():
                 ids += [i for i in map(known.get, sentence_features(w)) if i is not None]
                 ends.append(len(ids))
                 owner.append(d)
+                if len(ids) >= FEATURES_AT_ONCE:
+                    parts.append(self._posteriors(ids, ends))
+                    ids, ends = [], []
+        parts.append(self._posteriors(ids, ends))
+        return np.concatenate(parts), np.array(owner, dtype=np.int64)
+
+    def _posteriors(self, ids: list[int], ends: list[int]) -> np.ndarray:
+        """Posterior of sentences whose features end at ``ends`` of ``ids``."""
         k = len(self.subjects) + OTHER_TOPICS
-        if not owner:
-            return np.zeros((0, k)), np.zeros(0, dtype=np.int64)
+        if not ends:
+            return np.zeros((0, k))
         running = np.zeros((len(ids) + 1, k))
         np.cumsum(self.log_share[np.array(ids, dtype=np.int64)], axis=0, out=running[1:])
         ends = np.array(ends)
         total = running[ends] - running[np.concatenate([[0], ends[:-1]])] + self.log_prior
         total -= total.max(axis=1, keepdims=True)
         p = np.exp(total)
-        return p / p.sum(axis=1, keepdims=True), np.array(owner, dtype=np.int64)
+        return p / p.sum(axis=1, keepdims=True)
 
     def features(self, texts: list[str | None], sources: list[str | None]) -> np.ndarray:
         """documents x subjects x features."""
