@@ -7,10 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from tastegrid.functions.runtime import checkpointed
 
 # Roast levels from light to dark.
 ROAST_LEVELS = ("Light", "Medium-Light", "Medium", "Medium-Dark", "Dark", "Very Dark")
 
+#: Quantiles of more different values are not counted in one task.
+QUANTILE_VALUES = 1_000_000
+QUARTILES = (0.25, 0.5, 0.75)
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     """Columns of a numeric type; no booleans, no dates."""
@@ -64,14 +71,44 @@ def sample_per_group(df: DataFrame, key: str, n: int, seed: int, *identity: str,
     return least(partial, "_key").select(F.inline("_rows")).drop("_h")
 
 
+def quantiles(df: DataFrame, value: str, at: tuple[float, ...], key: str | None = None, most_values: int = QUANTILE_VALUES) -> DataFrame:
+    """One row (for each ``key`` that is not null) with q ARRAY<DOUBLE>: exact quantiles with linear interpolation.
+
+    Up to ``most_values`` different values are counted in the buffer of one aggregate. Beyond that, the counts of the
+    values are range-partitioned, summed up where they lie and shifted by what earlier partitions hold, and those at the
+    places looked for are taken. Both ways give the same. Nulls don't count; without values q is null, with a key there is no row.
+    """
+    by = [key] if key else []
+    x = F.col(value).cast("double")
+    known = df.where(F.col(value).isNotNull() & (F.col(key).isNotNull() if key else F.lit(True))).select(*by, x.alias("v"))
+    if known.agg(F.approx_count_distinct(F.struct(*by, "v")).alias("n")).first()["n"] <= most_values:
+        return known.groupBy(*by).agg(F.percentile("v", list(at)).alias("q"))
+    counts = known.groupBy(*by, "v").agg(F.count("*").alias("n")).repartitionByRange(*by, "v").withColumn("_part", F.spark_partition_id())
+    counts = checkpointed(counts)
+    sizes = counts.groupBy(*by, "_part").agg(F.sum("n").alias("size"))
+    earlier = Window.partitionBy(*by).orderBy("_part")  # one row a partition
+    sizes = sizes.select(*by, "_part", (F.sum("size").over(earlier) - F.col("size")).alias("shift"), F.sum("size").over(Window.partitionBy(*by)).alias("all"))
+    upto = F.sum("n").over(Window.partitionBy(*by, "_part").orderBy("v")) + F.col("shift")
+    placed = counts.join(sizes, [*by, "_part"]).withColumn("upto", upto)
+    holds = lambda place: (F.col("upto") > place) & (F.col("upto") - F.col("n") <= place)
+    found = []
+    for q in at:
+        place = F.lit(q) * (F.col("all") - 1)
+        low, high = F.max(F.when(holds(F.floor(place)), F.col("v"))), F.max(F.when(holds(F.ceil(place)), F.col("v")))
+        found.append((low + (high - low) * F.max(place - F.floor(place))))
+    return placed.groupBy(*by).agg(F.when(F.count("*") > 0, F.array(*found)).alias("q"))
+
+
 def describe(df: DataFrame, *columns: str) -> DataFrame:
     """stat and one column each: count, mean, std (n - 1), min, exact quartiles with linear interpolation, max."""
+    different = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    many = {c: quantiles(df, c, QUARTILES).first()["q"] for c in columns if different[c] > QUANTILE_VALUES}
+    quartile = lambda c, k: F.lit(many[c][k]) if c in many else F.percentile(c, QUARTILES[k])
     stats: dict[str, object] = {
         "count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"),
-        "25%": lambda c: F.percentile(c, 0.25), "50%": lambda c: F.percentile(c, 0.5), "75%": lambda c: F.percentile(c, 0.75),
-        "max": lambda c: F.max(c).cast("double"),
+        "25%": lambda c: quartile(c, 0), "50%": lambda c: quartile(c, 1), "75%": lambda c: quartile(c, 2), "max": lambda c: F.max(c).cast("double"),
     }
-    row = df.agg(*[f(F.col(c)).alias(f"{s}|{c}") for s, f in stats.items() for c in columns])
+    row = df.agg(*[f(c).alias(f"{s}|{c}") for s, f in stats.items() for c in columns])
     cells = [F.struct(F.lit(s).alias("stat"), *[F.col(f"`{s}|{c}`").alias(c) for c in columns]) for s in stats]
     return row.select(F.inline(F.array(*cells)))
 
@@ -80,11 +117,12 @@ def automatic_bins(df: DataFrame, value: str) -> int:
     """Number of equal bins from the narrower of the widths by Freedman and Diaconis, but no narrower than half that by
     the square root, and by Sturges; whole numbers get none narrower than 1. One bin for no values or one value."""
     x = F.col(value).cast("double")
-    s = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("iqr")).first()
+    s = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     if not s["n"] or s["lo"] == s["hi"]:
         return 1
     span = s["hi"] - s["lo"]
-    width = min(span / (math.log2(s["n"]) + 1), max(2 * s["iqr"] / s["n"] ** (1 / 3), span / math.sqrt(s["n"]) / 2))
+    low, high = quantiles(df, value, (0.25, 0.75)).first()["q"]
+    width = min(span / (math.log2(s["n"]) + 1), max(2 * (high - low) / s["n"] ** (1 / 3), span / math.sqrt(s["n"]) / 2))
     if isinstance(df.schema[value].dataType, T.IntegralType):
         width = max(width, 1.0)
     return max(1, math.ceil(span / width))
@@ -146,7 +184,7 @@ def pairwise_regression(df: DataFrame, *columns: str) -> DataFrame:
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, q1, median, q3, low, high, outliers: quartiles, whiskers at the last values within 1.5 quartile ranges."""
     known = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"))
-    quarters = known.groupBy(key).agg(F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.75).alias("q3"))
+    quarters = quantiles(known, "v", QUARTILES, key).select(key, *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
     return known.join(quarters, key).groupBy(key, "q1", "median", "q3").agg(

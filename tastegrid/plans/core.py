@@ -24,10 +24,15 @@ def p1_consistent_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent_table(table(spark, sf_dir, "export_files"), table(spark, sf_dir, "export_records"))
 
 
+def p1_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_consistent_table(spark, sf_dir).drop("extras").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_lifespans": p1_lifespans,
     "p1_consistent_table": p1_consistent_table,
+    "p1_reviews": p1_reviews,
     "p4_found": p4_found,
 }
 
@@ -78,7 +83,18 @@ filled AS (SELECT file_id, url, field, CASE WHEN t = 'VARCHAR' AND trim(s) NOT I
     CASE WHEN t IN ('DOUBLE', 'FLOAT', 'UBIGINT', 'BIGINT') THEN CAST(CAST(s AS DOUBLE) AS VARCHAR) ELSE s END AS v FROM cell),
 cat AS (SELECT feed, file_seq, file_id, field, max(kind) AS kind FROM filled JOIN export_files USING (file_id) GROUP BY ALL)"""
 
+
+
+def _canonical(column: str) -> str:
+    kind, names = drift.REVIEW_ALIASES[column]
+    texts = [f"""json_extract_string(record, '$."{n}"')""" for n in names]
+    known = [f"CASE WHEN trim({t}) NOT IN ('', 'NR', 'N/A', 'NA', 'na') THEN {t} END" for t in texts]
+    return f"coalesce({', '.join(f'TRY_CAST(trim({k}) AS DOUBLE)' if kind == 'double' else k for k in known)}) AS {column}"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "p1_reviews": f"""SELECT DISTINCT feed, file_seq, file_id, line_no, {', '.join(map(_canonical, drift.REVIEW_ALIASES))}
+FROM export_records JOIN export_files USING (file_id) WHERE json_valid(record) AND json_type(record) = 'OBJECT'""",
     "p4_found": _P4,
     "p1_found": f"""WITH {_CELLS},
 pair AS (SELECT n.file_id, o.file_id AS old_id FROM export_files n JOIN export_files o ON n.feed = o.feed AND n.file_seq = o.file_seq + 1),

@@ -101,3 +101,24 @@ def test_analyzers(spark):
     assert t.analyzer("porter") is t.porter and t.analyzer(t.identity) is t.identity and [t.word_class(x) for x in ("JJ", "VBZ", "NNS", "RBR", "DT", None)] == ["a", "v", "n", "r", "n", "n"]
     with pytest.raises(TypeError):
         t.analyzer("other")
+
+
+def test_quantiles_of_many_values(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tastegrid.operators import explore
+
+    rows = [("ab"[k % 3 == 0], float(k * 37 % 101) if k % 7 else None) for k in range(500)] + [(None, 1.0), ("c", 4.0), ("d", None)]
+    df, at = spark.createDataFrame(rows, "k string, v double"), (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+    few, many = ({r.k: r.q for r in explore.quantiles(df, "v", at, "k", most).collect()} for most in (10**6, 0))
+    for k in "abc":
+        expected = np.quantile([v for key, v in rows if key == k and v is not None], at)
+        assert few[k] == pytest.approx(expected) and many[k] == pytest.approx(expected)
+    assert set(few) == set(many) == set("abc")
+    whole = explore.quantiles(df, "v", at, None, 0).first().q
+    assert whole == pytest.approx(explore.quantiles(df, "v", at).first().q) and whole == pytest.approx(np.quantile([v for _, v in rows if v is not None], at))
+    some = {r.stat: r.v for r in explore.describe(df, "v").collect()}
+    monkeypatch.setattr(explore, "QUANTILE_VALUES", 0)
+    assert {r.stat: r.v for r in explore.describe(df, "v").collect()} == pytest.approx(some)
+    assert [r.v for r in explore.describe(df.where(F.col("v") < 0), "v").collect()] == [0.0] + [None] * 7
