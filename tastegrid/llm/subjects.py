@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.functions.runtime import spread
+from tastegrid.functions.runtime import sliced, spread
 
 #: Documents with labels on which the model is fitted, drawn by a hash of their id; all documents are classified.
 TRAINING_DOCUMENTS = 5_000
@@ -252,7 +252,7 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in sliced(batches, 1_000):
             if model is None or not batch.num_rows:
                 continue
             x = model.features(batch.column(1).to_pylist(), batch.column(2).to_pylist())

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegrid.functions.runtime import spread
+from tastegrid.functions.runtime import sliced, spread
 
 # Where byte-level BPE splits a text into pieces before merging.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -153,7 +153,7 @@ def encode_corpus(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             offsets, ids = [0], []
             for text in batch.column(1).to_pylist():
                 if text:
