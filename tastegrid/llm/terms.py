@@ -24,6 +24,11 @@ COMMON_SHARE = 0.2
 HOT_SHARE = 0.001
 #: So many counts of terms, some tens of megabytes, are broadcast as they are.
 BROADCAST_TERMS = 500_000
+#: Records drawn for the bounds of range partitions.
+BOUND_RECORDS = 20_000
+#: Letters of a term, of five bits each, in the number that is sorted by, and fields for which there is room before them.
+CODE_LETTERS = 11
+MOST_FIELDS = 128
 #: Parsimonious model: weight of the record against the background, and rounds of expectation-maximisation.
 RECORD_WEIGHT = 0.1
 EM_ROUNDS = 30
@@ -43,17 +48,25 @@ def term_frequencies(df: DataFrame, fields: list[str], id_column: str, partition
     term in the field. mark is ``rare`` (in at most RARE_RECORDS records), ``common`` (in more than COMMON_SHARE of
     all_records), else null; a term that would be both is rare.
 
+    The bounds of the partitions come from the terms of BOUND_RECORDS records drawn at random; they decide where pairs
+    are counted, not what is. What is sorted by is a number that holds the field and the first letters of the term.
+
     A record is an id. Repeated rows count once; where rows of one id differ, a term counts with its most uses in one
     of them. Rows without an id are no record and are left out; null, empty and term-free texts have no terms;
     further columns are ignored.
     """
+    if len(fields) > MOST_FIELDS:
+        raise ValueError(f"there are more than {MOST_FIELDS} fields")
+    context, session = df.sparkSession.sparkContext, df.sparkSession
     named = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("record"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fields)])
     kind = named.schema["record"].dataType.simpleString()
-    words = named.select("record", *[terms(F.col(f"f{k}")).alias(f"f{k}") for k in range(len(fields))])
-    # The field's number leads the term, so that the key to sort by is one string.
-    pairs = words.mapInArrow(_pairs_of_rows, f"key string, record {kind}, uses int")
-    parts = [partitions] if partitions else []
-    ordered = pairs.repartitionByRange(*parts, "key", "record").sortWithinPartitions("key", "record")
+    words = lambda rows: rows.select("record", F.hash("record").alias("h"), *[terms(F.col(f"f{k}")).alias(f"f{k}") for k in range(len(fields))])
+    parts = partitions or int(session.conf.get("spark.sql.shuffle.partitions"))
+    drawn = named.sample(min(1.0, BOUND_RECORDS / max(1, named.count())), seed=0)
+    weights = words(drawn).mapInArrow(_weights_of_rows, "code bigint, pairs bigint").groupBy("code").agg(F.sum("pairs").alias("pairs")).toArrow()
+    bounds = context.broadcast(_bounds(weights["code"].to_numpy(), weights["pairs"].to_numpy(), parts))
+    pairs = words(named).mapInArrow(_pairs_of_rows(bounds), f"part int, code bigint, record {kind}, tail string, uses int")
+    ordered = pairs.repartitionById(parts, F.col("part")).select("code", "record", "tail", "uses").sortWithinPartitions("code", "record", "tail")
     runs = ordered.mapInArrow(_count_runs, "key string, uses bigint, records bigint")
     split = F.create_map(*[F.lit(x) for k, f in enumerate(fields) for x in (str(k), f)])
     counted = (
@@ -70,6 +83,41 @@ def term_frequencies(df: DataFrame, fields: list[str], id_column: str, partition
     return counted.join(F.broadcast(whole), "field_name").withColumn("mark", mark)  # one row a field
 
 
+def _codes(field: int, dictionary: pa.Array) -> np.ndarray:
+    """A number for each term: the field's, then five bits for each of the first CODE_LETTERS letters; it sorts as they do."""
+    head = np.array(dictionary.to_pylist(), dtype=f"S{CODE_LETTERS}") if len(dictionary) else np.zeros(0, f"S{CODE_LETTERS}")
+    letters = head.view(np.uint8).reshape(len(head), CODE_LETTERS).astype(np.int64)
+    letters = np.where(letters > 0, letters - 96, 0)
+    return (field << 5 * CODE_LETTERS) + (letters << 5 * np.arange(CODE_LETTERS - 1, -1, -1)).sum(axis=1)
+
+
+def _decoded(code: int, tail: str) -> str:
+    """The field's number and the term."""
+    letters = [(code >> 5 * k) & 31 for k in range(CODE_LETTERS - 1, -1, -1)]
+    return f"{code >> 5 * CODE_LETTERS} " + "".join(chr(96 + x) for x in letters if x) + tail
+
+
+def _weights_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pairs of term and record each batch has by the number of the term."""
+    for batch in batches:
+        for k in range(2, batch.num_columns):
+            dictionary, _, term, _ = _row_terms(batch.column(k))
+            yield pa.RecordBatch.from_arrays([pa.array(_codes(k - 2, dictionary)), pa.array(np.bincount(term, minlength=len(dictionary)).astype(np.int64))], ["code", "pairs"])
+
+
+def _bounds(codes: np.ndarray, pairs: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers in order, the first of the partitions that pairs from each on go to, and how many these are.
+
+    A number of more pairs than a partition's share has several, by record; those that were not drawn go with the one before.
+    """
+    order = np.argsort(codes)
+    codes, pairs = codes[order], pairs[order].astype(np.float64)
+    share = max(pairs.sum() / parts, 1.0)
+    several = np.maximum(1, np.round(pairs / share)).astype(np.int64)
+    first = np.minimum((np.cumsum(pairs) - pairs) // share, parts - 1).astype(np.int64)
+    return codes, first, np.minimum(several, parts - first)
+
+
 def _row_terms(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """The different terms of a batch, and owner, term and uses of each term of each row."""
     flat = lists.flatten().dictionary_encode()
@@ -80,40 +128,60 @@ def _row_terms(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray, n
     return flat.dictionary, pair // n, pair % n, uses
 
 
-def _pairs_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a record and its terms in each field to pairs of term and record."""
-    for batch in batches:
-        for k in range(1, batch.num_columns):
-            dictionary, owner, term, uses = _row_terms(batch.column(k))
-            keys = pc.binary_join_element_wise(pa.scalar(str(k - 1)), dictionary.cast(pa.string()), " ")
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(term)), batch.column(0).take(pa.array(owner)), pa.array(uses.astype(np.int32))], ["key", "record", "uses"]
-            )
+def _pairs_of_rows(bounds):
+    """Rows of a record, a hash of it, and its terms in each field to pairs of term and record, and the partition of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, first, several = bounds.value
+        for batch in batches:
+            spread_ = batch.column(1).to_numpy().astype(np.int64)
+            for k in range(2, batch.num_columns):
+                dictionary, owner, term, uses = _row_terms(batch.column(k))
+                codes = _codes(k - 2, dictionary)
+                place = np.maximum(np.searchsorted(known, codes, "right") - 1, 0)
+                at, n = (first[place], several[place]) if len(known) else (np.zeros(len(codes), np.int64), np.ones(len(codes), np.int64))
+                part = at[term] + spread_[owner] % n[term]
+                tail = pc.utf8_slice_codeunits(dictionary.cast(pa.string()), CODE_LETTERS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part.astype(np.int32)), pa.array(codes[term]), batch.column(0).take(pa.array(owner)), tail.take(pa.array(term)), pa.array(uses.astype(np.int32))],
+                    ["part", "code", "record", "tail", "uses"],
+                )
+
+    return run
+
+
+def _as_before(column: pa.Array) -> np.ndarray:
+    """Whether each value equals the one before it; the first doesn't."""
+    return np.concatenate([[False], pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)])
 
 
 def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pairs to counts of uses and records of each run of a term; equal pairs are one with their most uses."""
+    """Sorted pairs to counts of uses and records of each run of a term; equal pairs are one with their most uses.
+
+    Terms whose first letters are equal take turns by record; each turn is a run of its own.
+    """
     open_: tuple | None = None  # the last pair, which the next batch may go on with
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, record = batch.column(0), batch.column(1)
-        uses = batch.column(2).to_numpy().astype(np.int64)
-        same_key = np.concatenate([[False], pc.equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)])
-        same_pair = np.concatenate([[False], pc.equal(record[1:], record[:-1]).to_numpy(zero_copy_only=False)]) & same_key
+        code, record, tail = batch.column(0), batch.column(1), batch.column(2)
+        uses = batch.column(3).to_numpy().astype(np.int64)
+        same_key = _as_before(code) & _as_before(tail)
+        same_pair = _as_before(record) & same_key
         firsts = np.flatnonzero(~same_pair)
         most = np.maximum.reduceat(uses, firsts)
         starts = np.flatnonzero(~same_key[firsts])
         used = np.add.reduceat(most, starts)
         records = np.diff(np.append(starts, len(firsts)))
-        first = key[0].as_py(), record[0].as_py()
-        if open_ is not None and open_[:2] == first:  # one record across two batches
+        first = code[0].as_py(), tail[0].as_py(), record[0].as_py()
+        if open_ is not None and open_[:3] == first:  # one record across two batches
             records[0] -= 1
-            used[0] += max(most[0], open_[2]) - open_[2] - most[0]
-            most[0] = max(most[0], open_[2])
-        open_ = key[-1].as_py(), record[-1].as_py(), int(most[-1])
+            used[0] += max(most[0], open_[3]) - open_[3] - most[0]
+            most[0] = max(most[0], open_[3])
+        open_ = code[-1].as_py(), tail[-1].as_py(), record[-1].as_py(), int(most[-1])
         at = pa.array(firsts[starts])
-        yield pa.RecordBatch.from_arrays([key.take(at), pa.array(used), pa.array(records.astype(np.int64))], ["key", "uses", "records"])
+        keys = [_decoded(c, t) for c, t in zip(code.take(at).to_pylist(), tail.take(at).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(used), pa.array(records.astype(np.int64))], ["key", "uses", "records"])
 
 
 def record_models(df: DataFrame, text_column: str, id_column: str, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:

@@ -47,6 +47,36 @@ def test_frequencies_of_differing_rows_and_empty_table(spark):
     assert terms.term_frequencies(df.limit(0), ["blind_assessment", "notes"], "review_id").count() == 0
 
 
+def test_terms_with_the_same_first_letters_and_other_bounds(spark, monkeypatch):
+    rows = [(i % 50, f"hot caramelized{'ab'[i % 2] * (i % 3)} caramelizing caramelizati{'on' * (i % 4)} {'zz' * (1 + i % 5)}a", "hot" if i % 3 else None) for i in range(120)] + [(1000 + i, "hot", None) for i in range(300)]
+    expected = {}
+    for k, field in enumerate(("blind_assessment", "notes"), 1):
+        uses = defaultdict(Counter)
+        for r in rows:
+            for t, c in Counter(words(r[k])).items():
+                uses[t][r[0]] = max(uses[t][r[0]], c)
+        expected |= {(field, t): (sum(c.values()), len(c)) for t, c in uses.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for drawn, partitions in ((10**6, 5), (0.001, 5), (20, 16)):
+            monkeypatch.setattr(terms, "BOUND_RECORDS", drawn)
+            got = {(r.field_name, r.term): (r.uses, r.records) for r in terms.term_frequencies(spark.createDataFrame(rows, SCHEMA), ["blind_assessment", "notes"], "review_id", partitions).collect()}
+            assert got == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_numbers_sort_as_terms_do_and_hot_ones_spread():
+    import numpy as np
+    import pyarrow as pa
+
+    stock = sorted(["abc", "abcd", "zzz", "caramelizing", "caramelizer", "cab", "a" * 11, "a" * 12, "z" * 40])
+    codes = terms._codes(3, pa.array(stock))
+    assert list(codes) == sorted(codes) and [terms._decoded(int(c), t[terms.CODE_LETTERS :]) for c, t in zip(codes, stock)] == [f"3 {t}" for t in stock]
+    known, first, several = terms._bounds(np.array([5, 1, 9]), np.array([80, 10, 10]), 10)
+    assert known.tolist() == [1, 5, 9] and first.tolist() == [0, 1, 9] and several.tolist() == [1, 8, 1]
+
+
 def test_runs_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:
