@@ -15,8 +15,10 @@ def components(edges: DataFrame) -> DataFrame:
     halve; the rounds are cut by checkpoints and end when no root changes. Loops, repeated edges, and edges with a
     null end are no links.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).where("a <> b")
-    both = checkpointed(both.union(both.select("other", "node")).distinct())
+    ends = [F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
+    both = checkpointed(edges.where("a <> b").select(F.inline(F.array(*ends))).distinct())
+    if both.isEmpty():
+        return both.select("node", F.col("other").alias("root"))
     roots = checkpointed(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("root")))
     while True:
         seen = roots.select(F.col("node").alias("other"), F.col("root").alias("seen"))
