@@ -168,8 +168,11 @@ def _meeting(met: DataFrame, known: DataFrame) -> DataFrame:
     )
     pairs = F.when(F.col("how") == ALL, F.col("met") * F.col("asking")).otherwise(F.col("met") * F.col("short_asking") + F.col("short") * F.col("asking"))
     large = checkpointed(sizes.where(pairs > BLOCK_PAIRS).select("block"))
-    rows = keyed.hint("merge").join(large, "block", "left_anti").select("id", "asks", "block", "how", F.lit(ALL).alias("finer"), "words")
-    rows = rows.union(_finer(keyed.hint("merge").join(large, "block", "left_semi"), known))
+    whole = lambda df: df.select("id", "asks", "block", "how", F.lit(ALL).alias("finer"), "words")
+    if large.isEmpty():
+        rows = whole(keyed)
+    else:
+        rows = whole(keyed.hint("merge").join(large, "block", "left_anti")).union(_finer(keyed.hint("merge").join(large, "block", "left_semi"), known))
 
     def turns(how: str, long: int) -> Column:
         return F.when(F.col(how) == ALL, F.array(F.lit(0))).when(F.col(how) == SHORT, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(long)))
@@ -213,10 +216,10 @@ def resolve(rows: DataFrame, id_column: str = "name_id", name_column: str = "roa
     anywhere = known.where("initials is null").select("id", "core", F.lit(None).cast("string").alias("scope"), F.col("town").isNull().alias("asks"), F.lit(1).alias("edits"))
     measured = _measured(known, _meeting(here.union(anywhere), known))
     while True:
-        edges = checkpointed(_edges(known, measured))
-        if edges.isEmpty():
+        roots = components(_edges(known, measured))
+        if roots.isEmpty():
             break
-        known = _merged(known, edges)
+        known = _merged(known, roots)
         fresh = known.where("initials is null and at_town is not null and not entered")
         if not fresh.isEmpty():
             placed = known.join(fresh.select("at_town").distinct(), "at_town", "left_semi")
@@ -232,10 +235,9 @@ def _within(forms_: DataFrame, town: str, asks: Column) -> DataFrame:
     return forms_.where("initials is null").select("id", "core", F.col(town).alias("scope"), asks.alias("asks"), F.lit(2).alias("edits"))
 
 
-def _merged(known: DataFrame, edges: DataFrame) -> DataFrame:
-    """The forms with the profiles that they belong to after merging along ``edges``, and with their places."""
-    roots = components(edges).withColumnsRenamed({"node": "entity"})
-    moved = known.join(roots, "entity", "left").withColumn("entity", F.coalesce("root", "entity"))
+def _merged(known: DataFrame, roots: DataFrame) -> DataFrame:
+    """The forms with the profiles that they belong to after theirs merged into ``roots``, and with their places."""
+    moved = known.join(roots.withColumnsRenamed({"node": "entity"}), "entity", "left").withColumn("entity", F.coalesce("root", "entity"))
     places = moved.groupBy("entity").agg(F.max("town").alias("at_town"), F.max("country").alias("at_country"))
     return checkpointed(moved.drop("at_town", "at_country").join(places, "entity").select(*known.columns))
 
@@ -287,7 +289,7 @@ def _edges(known: DataFrame, measured: DataFrame) -> DataFrame:
     met = met.union(_only_match(_sorted_letters(rest), _sorted_letters(full), "letters"))
     alike = short.groupBy("letters", "town").agg(F.min("entity").alias("b"))
     alike = short.join(alike, ["letters", "town"]).select(F.col("entity").alias("a"), "b").where("a <> b")
-    return in_town.union(nearest).union(lost).union(met).union(alike).distinct()
+    return in_town.union(nearest).union(lost).union(met).union(alike)
 
 
 def _sorted_letters(df: DataFrame) -> DataFrame:
