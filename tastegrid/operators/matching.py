@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tastegrid.functions.numeric import ranked
-from tastegrid.functions.runtime import checkpointed
+from tastegrid.functions.runtime import checkpointed, sliced
 from tastegrid.functions.strings import lookup, strip_accents
 from tastegrid.operators.graph import components
+from tastegrid.operators.lettering import SLICE, Lettered, near, pair_scores
 
 AUTO, REVIEW = 92.0, 82.0
-#: Parts of a band of lengths: there are few lengths, but many keys of each.
-BAND_SALTS = 16
+#: Keys of a chunk whose pairs one task looks at: a tenth of all within these.
+LEAST_KEYS, MOST_KEYS = 1024, 8192
 
 # Words that say little about which company it is, and abbreviations written out before.
 STOP_WORDS = (
@@ -102,51 +104,120 @@ def exact_clusters(names: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("tokens", name_tokens(F.col("raw_name"))).withColumn("core_key", core_key(F.col("tokens"))).drop("tokens")
 
 
-def _kinds_of_letters(key: Column) -> Column:
-    """A bit for each letter and digit that a key has."""
-    bits = [F.when(F.contains(key, F.lit(c)), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def _chunks(sizes: dict[int, int], least: float) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int]]]:
+    """Chunks of keys by size: (first chunk, number of chunks) of each size, and the pairs of chunks whose sizes can meet.
 
-
-def key_pairs(keys: DataFrame, least: float = REVIEW) -> DataFrame:
-    """core_a, core_b, score of every two distinct keys that score at least ``least``; core_a < core_b.
-
-    Not all pairs are scored, but none is missed. Two keys score by the words that they share, which then cover a
-    share of one of them: so at least one of its rarest words, without which the rest covers less, is in the other.
-    Or they score by letters, which their lengths bound: they meet in bands of length where the bound allows it, and
-    are scored if no more kinds of letters differ than the score allows, and they share a word or no more letters do.
+    A chunk holds a run of sizes, or a part of one size, so none is much larger than the others.
     """
-    sized = keys.select("core_key", F.length("core_key").alias("size"), F.array_distinct(F.split("core_key", " ")).alias("words"), _kinds_of_letters(F.col("core_key")).alias("kinds"))
-    words = sized.select("core_key", "size", F.explode("words").alias("word"))
-    counted = words.join(words.groupBy("word").agg(F.count("*").alias("n")), "word")
-    onwards = Window.partitionBy("core_key").orderBy("n", "word").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # of one key's words
-    covered = F.sum(F.length("word") + 1).over(onwards) - 1
-    rarest = counted.withColumn("covered", covered).where(F.col("covered") >= F.col("size") * (least / (200.0 - least)) - 1e-9)
-    side = lambda df, x: df.withColumnRenamed("core_key", f"core_{x}")
-    shared = side(rarest.select("core_key", "word"), "a").join(side(words.select("core_key", "word"), "b"), "word")
-    # By letters, the score is 100 * (1 - indel / (la + lb)), so at most 200 * min / (la + lb).
+    most = min(MOST_KEYS, max(LEAST_KEYS, sum(sizes.values()) // 10))
+    chunks, held, of = [], most, {}
+    for size, n in sorted(sizes.items()):
+        parts = -(-n // most)
+        if parts == 1 and held + n <= most:
+            chunks[-1] = (chunks[-1][0], size)
+            held += n
+            of[size] = (len(chunks) - 1, 1)
+        else:
+            of[size] = (len(chunks), parts)
+            chunks += [(size, size)] * parts
+            held = n if parts == 1 else most
     ratio = (200.0 - least) / least
-    near = sized.withColumn("band", F.explode(F.sequence(F.col("size"), F.ceil(F.col("size") * ratio).cast("int"))))
-    near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(BAND_SALTS - 1))))
-    named = lambda df, x: df.withColumnsRenamed({c: f"{c}_{x}" for c in ("size", "words", "kinds")} | {"core_key": f"core_{x}"})
-    pair = named(sized, "a").withColumns({"band": F.col("size_a"), "salt": F.pmod(F.hash("core_a"), F.lit(BAND_SALTS))})
-    other = named(near, "b")
-    # Few bytes, but much to compare: as many parts as a shuffle has, whatever their size.
-    pair = pair.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "salt")
-    letters = F.col("size_a") + F.col("size_b")
-    bounded = pair.join(other, ["band", "salt"]).where("size_a > size_b or core_a < core_b").where(200.0 * F.col("size_b") / letters >= least)
-    allowed = F.floor(letters * (1 - least / 100) + 1e-9).cast("int")
-    bounded = bounded.where(F.bit_count(F.col("kinds_a").bitwiseXOR(F.col("kinds_b"))) <= allowed)
-    bounded = bounded.where((F.levenshtein("core_a", "core_b") <= allowed) | F.arrays_overlap("words_a", "words_b"))
-    met = shared.select("core_a", "core_b").union(bounded.select("core_a", "core_b")).where("core_a <> core_b")
+    return of, [(p, q) for p in range(len(chunks)) for q in range(p, len(chunks)) if chunks[q][0] <= chunks[p][1] * ratio + 1e-9]
+
+
+def _near_pairs(keys: DataFrame, least: float) -> DataFrame:
+    """core_a, core_b, score of the pairs whose letters alone score at least ``least``; every chunk meets every other that it can."""
+    sizes = {r["size"]: r["n"] for r in keys.groupBy(F.length("core_key").alias("size")).agg(F.count("*").alias("n")).collect()}  # a row for each length
+    of, pairs = _chunks(sizes, least)
+    meets: dict[int, list[tuple[int, bool]]] = {}
+    for k, (p, q) in enumerate(pairs):
+        meets.setdefault(p, []).append((k, False))
+        if p != q:
+            meets.setdefault(q, []).append((k, True))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1024):
+            rows = []
+            for key in batch.column(0).to_pylist():
+                first, parts = of[len(key)]
+                rows += [(pair, second, key) for pair, second in meets[first + zlib.crc32(key.encode()) % parts]]
+            if rows:
+                pair, second, key = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(second, pa.bool_()), pa.array(key, pa.string())], ["pair", "second", "core_key"])
+
+    def score(group: pa.Table) -> pa.Table:
+        known: dict[str, int] = {}
+        second = group.column("second").to_pylist()
+        texts = group.column("core_key").to_pylist()
+        sides = [Lettered(sorted((k for k, s in zip(texts, second, strict=True) if s == side), key=lambda k: (len(k), k)), known) for side in (False, True)]
+        a, b = sides[0], sides[1] if sides[1].keys else sides[0]
+        out: list[tuple[list[str], list[str], list[float]]] = []
+        # One side alone is a chunk with itself; chunks that are not met have nothing on one side.
+        p, q = pairs[group.column("pair")[0].as_py()]
+        for i, j in near(a, b, least, p == q) if a.keys and (p == q or sides[1].keys) else ():
+            scores = pair_scores(a, b, i, j, key_score, contained=False)
+            kept = scores >= least
+            out.append(([a.keys[k] for k in i[kept]], [b.keys[k] for k in j[kept]], scores[kept].tolist()))
+        left, right, scores = ([x for part in out for x in part[k]] for k in range(3))
+        ordered = [(x, y) if x < y else (y, x) for x, y in zip(left, right, strict=True)]
+        return pa.table({"core_a": pa.array([x for x, _ in ordered], pa.string()), "core_b": pa.array([y for _, y in ordered], pa.string()), "score": pa.array(scores, pa.float64())})
+
+    dealt = keys.select("core_key").mapInArrow(deal, "pair int, second boolean, core_key string")
+    # Few bytes, but much to compare: as many parts as there are pairs of chunks for the cores, whatever their size.
+    spark = keys.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(pairs), 8 * spark.sparkContext.defaultParallelism))
+    return dealt.repartition(parts, "pair").groupBy("pair").applyInArrow(score, "core_a string, core_b string, score double")
+
+
+def _held_pairs(keys: DataFrame, least: float) -> DataFrame:
+    """core_a, core_b, score of the pairs whose common words cover so much of one that it scores at least ``least``."""
+    part = least / (200.0 - least)
+    size, words = F.length("core_key"), F.array_distinct(F.split("core_key", " "))
+    # How many words of a key may be missing in the other at most: its shortest ones, as long as the rest covers enough.
+    lengths = F.array_sort(F.transform("words", lambda w: F.length(w) + 1))
+    missing = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size(lengths)), lambda k: F.aggregate(F.slice(lengths, 1, k), F.lit(0), lambda x, y: x + y)), lambda x: x <= (size + 1) - (size * part) + 1e-9))
+    bits = F.aggregate("words", F.lit(0).cast("bigint"), lambda x, w: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(w), F.lit(64)))))
+    sized = keys.select("core_key", size.alias("size"), words.alias("words")).withColumns({"missing": missing, "bits": bits})
+    spread_ = sized.select("core_key", "size", "missing", "bits", F.explode("words").alias("word"))
+    counted = spread_.join(spread_.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word")
+    onwards = Window.partitionBy("core_key").orderBy(F.desc("n"), F.desc("word")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of one key's words
+    covered = F.sum(F.length("word") + 1).over(onwards) - 1
+    rarest = counted.withColumn("covered", covered).where(F.col("covered") >= F.col("size") * part - 1e-9)
+    a = rarest.select("word", F.col("core_key").alias("core_a"), F.col("missing").alias("missing_a"), F.col("bits").alias("bits_a"))
+    b = counted.select("word", F.col("core_key").alias("core_b"), F.col("bits").alias("bits_b"))
+    met = a.join(b, "word").where("core_a <> core_b and bit_count(bits_a & ~bits_b) <= missing_a")
     candidates = met.select(F.least("core_a", "core_b").alias("core_a"), F.greatest("core_a", "core_b").alias("core_b")).distinct()
+    return scored_pairs(candidates).where(F.col("score") >= least)
+
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["score"] = [float(key_score(a, b)) for a, b in zip(batch.core_a, batch.core_b, strict=True)]
-            yield batch[batch.score >= least]
+def scored_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of core_a and core_b with their score."""
+    names = pairs.columns
 
-    return candidates.mapInPandas(score, "core_a string, core_b string, score double")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced([whole], SLICE):
+                known: dict[str, int] = {}
+                sides = []
+                for side in ("core_a", "core_b"):
+                    place = batch.column(names.index(side)).dictionary_encode()
+                    sides.append((Lettered(place.dictionary.to_pylist(), known), place.indices.to_numpy().astype("int64")))
+                (a, i), (b, j) = sides
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pair_scores(a, b, i, j, key_score))], [*names, "score"])
+
+    return pairs.mapInArrow(score, T.StructType([*pairs.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def key_pairs(keys: DataFrame, least: float = REVIEW) -> DataFrame:
+    """core_a, core_b, score of every two distinct keys that score at least ``least``; core_a < core_b.
+
+    No pair is missed. Two keys score by the words that they share, which then cover a share of one of them: so at least
+    one of its rarest words, without which the rest covers less, is in the other. Or they score by letters: all pairs of
+    keys whose lengths allow it are held against each other in arrays, by how often each has which letter, whatever
+    the order; what this leaves is few, and its common subsequences are worked out.
+    """
+    found = _near_pairs(keys, least).union(_held_pairs(keys, least))
+    return found.groupBy("core_a", "core_b").agg(F.max("score").alias("score"))
 
 
 def _clusters(keyed: DataFrame) -> DataFrame:
@@ -174,34 +245,40 @@ def crosswalk(names: DataFrame, column: str, auto: float = AUTO, review: float =
     pair is below ``auto``. Review queue: name_a, name_b, core_a, core_b, score, merge for keys that score between
     ``review`` and ``auto``. Null names are left out; empty input gives empty results.
     """
-    exact = checkpointed(exact_clusters(names, column))
-    firsts = exact.groupBy("core_key").agg(F.min("raw_name").alias("first_name"))
-    scored = checkpointed(key_pairs(firsts.select("core_key"), review))
-    roots = components(scored.where(F.col("score") >= auto).select(F.col("core_a").alias("a"), F.col("core_b").alias("b")))
+    exact, firsts, scored = _scored_keys(names, column, review)
+    edges = scored.where(F.col("score") >= auto).select(F.col("core_a").alias("a"), F.col("core_b").alias("b"))
+    roots = components(edges)
     keyed = exact.join(roots.withColumnRenamed("node", "core_key"), "core_key", "left").withColumn("root", F.coalesce("root", "core_key"))
     keyed = _clusters(keyed)
-    members = keyed.select("root", "core_key").distinct()
-    inner = members.alias("x").join(members.alias("y"), "root").where("x.core_key < y.core_key")
-    inner = inner.select("root", F.col("x.core_key").alias("core_a"), F.col("y.core_key").alias("core_b"))
-    worst = _scored(inner).groupBy("root").agg(F.min("score").alias("worst"))
+    # All pairs of a cluster's keys; those without a pair are clusters of one key.
+    inner = roots.alias("x").join(roots.alias("y"), "root").where("x.node < y.node")
+    inner = inner.select("root", F.col("x.node").alias("core_a"), F.col("y.node").alias("core_b"))
+    worst = scored_pairs(inner).groupBy("root").agg(F.min("score").alias("worst"))
     score = F.when(F.col("cluster_size") > 2, F.coalesce("worst", F.lit(100.0))).otherwise(F.lit(100.0))
     table = keyed.join(worst, "root", "left").select(
         "raw_name", "n_records", "cluster_id", "canonical_name", "cluster_size",
         F.bround(score, 1).alias("min_internal_score"), (score < auto).alias("chain_risk"),
     )
-    open_ = scored.where(F.col("score") < auto)
-    open_ = open_.join(firsts.select(F.col("core_key").alias("core_a"), F.col("first_name").alias("name_a")), "core_a")
-    open_ = open_.join(firsts.select(F.col("core_key").alias("core_b"), F.col("first_name").alias("name_b")), "core_b")
-    queue = open_.select("name_a", "name_b", "core_a", "core_b", F.bround("score", 1).alias("score"), F.lit("").alias("merge"))
-    return table, queue
+    return table, _queue(firsts, scored, auto)
+
 
+def review_queue(names: DataFrame, column: str, auto: float = AUTO, review: float = REVIEW) -> DataFrame:
+    """The review queue of ``crosswalk`` without the clusters, which it does not need."""
+    _, firsts, scored = _scored_keys(names, column, review)
+    return _queue(firsts, scored, auto)
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"root": batch.root, "score": [float(key_score(a, b)) for a, b in zip(batch.core_a, batch.core_b, strict=True)]})
 
-    return pairs.mapInPandas(score, "root string, score double")
+def _scored_keys(names: DataFrame, column: str, review: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    exact = checkpointed(exact_clusters(names, column))
+    firsts = exact.groupBy("core_key").agg(F.min("raw_name").alias("first_name"))
+    return exact, firsts, checkpointed(key_pairs(firsts.select("core_key"), review))
+
+
+def _queue(firsts: DataFrame, scored: DataFrame, auto: float) -> DataFrame:
+    open_ = scored.where(F.col("score") < auto)
+    open_ = open_.join(firsts.select(F.col("core_key").alias("core_a"), F.col("first_name").alias("name_a")), "core_a")
+    open_ = open_.join(firsts.select(F.col("core_key").alias("core_b"), F.col("first_name").alias("name_b")), "core_b")
+    return open_.select("name_a", "name_b", "core_a", "core_b", F.bround("score", 1).alias("score"), F.lit("").alias("merge"))
 
 
 def new_names(names: DataFrame, column: str, known: DataFrame) -> DataFrame:

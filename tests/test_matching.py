@@ -61,6 +61,63 @@ def test_no_pair_of_random_keys_is_missed(spark, least):
     assert got == {(a, b) for a, b in itertools.combinations(keys, 2) if matching.key_score(a, b) >= least}
 
 
+def test_chunks_hold_every_pair_that_lengths_allow(monkeypatch):
+    monkeypatch.setattr(matching, "LEAST_KEYS", 10)
+    sizes = {3: 4, 4: 6, 5: 25, 6: 9, 7: 30, 11: 1}
+    of, pairs = matching._chunks(sizes, 82.0)
+    assert {s: n for s, (_, n) in of.items()} == {3: 1, 4: 1, 5: 3, 6: 1, 7: 3, 11: 1}
+    for a, b in itertools.combinations_with_replacement(sizes, 2):
+        met = {(of[a][0] + x, of[b][0] + y) for x in range(of[a][1]) for y in range(of[b][1])}
+        if 200.0 * a / (a + b) >= 82.0:
+            assert {(min(m), max(m)) for m in met} <= set(pairs)
+    assert of[3] == of[4] and (of[3][0], of[7][0]) not in pairs
+
+
+def test_keys_in_many_chunks_and_of_one_hot_word_miss_no_pair(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(matching, "LEAST_KEYS", 12)
+    rng = random.Random(11)
+    stock = ["lab", "works", "lighthouse", "specialty", "mafufuno", "mafufun", "mafufnuo", "of", "x" * 40, "y" * 30, "zz"]
+    keys = sorted({" ".join(sorted(set(["lab", *rng.choices(stock, k=rng.randint(0, 5))]))) for _ in range(160)})
+    got = {(r.core_a, r.core_b): r.score for r in matching.key_pairs(spark.createDataFrame([(k,) for k in keys], "core_key string")).collect()}
+    scores = {(a, b): matching.key_score(a, b) for a, b in itertools.combinations(keys, 2)}
+    assert got == {p: s for p, s in scores.items() if s >= matching.REVIEW}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aab c1", min_size=1, max_size=70), min_size=2, max_size=12))
+def test_scores_of_arrays(texts):
+    import numpy as np
+
+    from tastegrid.operators.lettering import Lettered, near, pair_scores
+
+    keys = sorted({" ".join(sorted(t.split())) for t in texts}, key=lambda k: (len(k), k))
+    held = Lettered(keys, {})
+    i, j = np.triu_indices(len(keys), 1)
+    want = [matching.key_score(keys[a], keys[b]) for a, b in zip(i, j, strict=True)]
+    assert pair_scores(held, held, i, j, matching.key_score).tolist() == want
+    met = {(int(a), int(b)) for p, q in near(held, held, 82.0, True) for a, b in zip(p, q, strict=True)}
+    letters = pair_scores(held, held, i, j, matching.sorted_ratio, contained=False)
+    assert met >= {(int(a), int(b)) for a, b, s in zip(i, j, letters, strict=True) if s >= 82.0}
+
+
+def test_few_of_many_pairs_are_left_to_score():
+    import random
+
+    from tastegrid.operators.lettering import Lettered, near
+
+    rng = random.Random(2)
+    keys = sorted({"forest " + "".join(rng.choice(x) for x in ("bdfgkmnprstv", "aeiou") * 4) for _ in range(1500)}, key=lambda k: (len(k), k))
+    held = Lettered(keys, {})
+    assert 0 < sum(len(i) for i, _ in near(held, held, matching.REVIEW, True)) < 0.03 * len(keys) ** 2 / 2
+
+
+def test_review_queue_without_clusters(names):
+    alone = matching.review_queue(names, "roaster").collect()
+    assert sorted(map(tuple, alone)) == sorted(map(tuple, matching.crosswalk(names, "roaster")[1].collect())) and alone
+
+
 def test_crosswalk(names):
     table, queue = matching.crosswalk(names, "roaster")
     rows = {r.raw_name: r for r in table.collect()}
