@@ -222,13 +222,11 @@ def key_pairs(keys: DataFrame, least: float = REVIEW) -> DataFrame:
 
 def _clusters(keyed: DataFrame) -> DataFrame:
     """Adds cluster_size, cluster_id and canonical_name to raw_name, n_records and root."""
-    own = keyed.groupBy("root").agg(
-        F.min("raw_name").alias("least_name"), F.count("*").alias("cluster_size"), F.max(F.struct("n_records", F.length("raw_name").alias("len"))).alias("best")
-    )
-    best = keyed.join(own.select("root", "best"), "root").where((F.col("n_records") == F.col("best.n_records")) & (F.length("raw_name") == F.col("best.len")))
-    canonical = best.groupBy("root").agg(F.min("raw_name").alias("canonical_name"))
-    numbered = ranked(own, "least_name", name="place").select("root", (F.col("place") - 1).cast("int").alias("cluster_id"))
-    return keyed.join(own.select("root", "cluster_size"), "root").join(canonical, "root").join(numbered, "root")
+    # The most frequent, then the longest, then the first name is the least of these.
+    best = F.min(F.struct((-F.col("n_records")).alias("n"), (-F.length("raw_name")).alias("len"), F.col("raw_name").alias("canonical_name")))
+    own = keyed.groupBy("root").agg(F.min("raw_name").alias("least_name"), F.count("*").alias("cluster_size"), best.alias("best"))
+    numbered = ranked(own, "least_name", name="place")
+    return keyed.join(numbered.select("root", "cluster_size", "best.canonical_name", (F.col("place") - 1).cast("int").alias("cluster_id")), "root")
 
 
 def exact_crosswalk(names: DataFrame, column: str) -> DataFrame:

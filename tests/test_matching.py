@@ -133,6 +133,15 @@ def test_crosswalk(names):
     assert {r.raw_name for r in matching.new_names(names, "roaster", table.where("raw_name <> 'JBC Coffee'")).collect()} == {"JBC Coffee"}
 
 
+def test_canonical_name_and_its_plan(spark):
+    rows = [("Onyx", 2), ("ONYX", 2), ("Onyx Coffee", 2), ("onyx coffee", 2), ("The Onyx Coffee Company", 1), ("Mill", 1)]
+    table, _ = matching.crosswalk(spark.createDataFrame([(n,) for n, k in rows for _ in range(k)], "roaster string"), "roaster")
+    got = {r.raw_name: (r.canonical_name, r.cluster_size, r.cluster_id) for r in table.collect()}
+    assert got == {n: ("Mill", 1, 0) if n == "Mill" else ("Onyx Coffee", 5, 1) for n, _ in rows}
+    # Each join is a plan that the driver holds and compiles: with the roots, the clusters, and what the worst pair of each comes from.
+    assert table._jdf.queryExecution().analyzed().toString().count("Join ") <= 5
+
+
 def test_chain_risk_and_empty(spark):
     chained = spark.createDataFrame([("black",), ("black oak",), ("black white",)], "roaster string")
     rows = matching.crosswalk(chained, "roaster")[0].collect()
