@@ -244,22 +244,23 @@ def crosswalk(names: DataFrame, column: str, auto: float = AUTO, review: float =
     ``review`` and ``auto``. Null names are left out; empty input gives empty results.
     """
     exact, firsts, scored = _scored_keys(names, column, review)
-    edges = scored.where(F.col("score") >= auto).select(F.col("core_a").alias("a"), F.col("core_b").alias("b"))
-    roots = components(edges)
-    keyed = exact.join(roots.withColumnRenamed("node", "core_key"), "core_key", "left").withColumn("root", F.coalesce("root", "core_key"))
-    keyed = _clusters(keyed)
-    # All pairs of a cluster's keys; those without a pair are clusters of one key.
-    inner = roots.alias("x").join(roots.alias("y"), "root").where("x.node < y.node")
-    inner = inner.select("root", F.col("x.node").alias("core_a"), F.col("y.node").alias("core_b"))
-    worst = scored_pairs(inner).groupBy("root").agg(F.min("score").alias("worst"))
-    score = F.when(F.col("cluster_size") > 2, F.coalesce("worst", F.lit(100.0))).otherwise(F.lit(100.0))
-    table = keyed.join(worst, "root", "left").select(
+    keyed, worst = _rooted(exact, scored, auto)
+    score = _internal_score()
+    table = _clusters(keyed).join(worst, "root", "left").select(
         "raw_name", "n_records", "cluster_id", "canonical_name", "cluster_size",
         F.bround(score, 1).alias("min_internal_score"), (score < auto).alias("chain_risk"),
     )
     return table, _queue(firsts, scored, auto)
 
 
+def cluster_diagnostics(names: DataFrame, column: str, auto: float = AUTO, review: float = REVIEW) -> DataFrame:
+    """``diagnostics`` of ``crosswalk``, without the numbers and canonical names of clusters, which it does not need."""
+    exact, _, scored = _scored_keys(names, column, review)
+    keyed, worst = _rooted(exact, scored, auto)
+    sizes = keyed.groupBy("root").agg(F.count("*").alias("cluster_size")).join(worst, "root", "left")
+    return sizes.agg(F.coalesce(F.sum("cluster_size"), F.lit(0)).alias("names"), F.count("*").alias("companies"), F.count_if(_internal_score() < auto).alias("at_risk"))
+
+
 def review_queue(names: DataFrame, column: str, auto: float = AUTO, review: float = REVIEW) -> DataFrame:
     """The review queue of ``crosswalk`` without the clusters, which it does not need."""
     _, firsts, scored = _scored_keys(names, column, review)
@@ -272,6 +273,19 @@ def _scored_keys(names: DataFrame, column: str, review: float) -> tuple[DataFram
     return exact, firsts, checkpointed(key_pairs(firsts.select("core_key"), review))
 
 
+def _rooted(exact: DataFrame, scored: DataFrame, auto: float) -> tuple[DataFrame, DataFrame]:
+    """``exact`` with the root of each name's cluster; root, worst: the least score of any two keys of a cluster."""
+    roots = components(scored.where(F.col("score") >= auto).select(F.col("core_a").alias("a"), F.col("core_b").alias("b")))
+    keyed = exact.join(roots.withColumnRenamed("node", "core_key"), "core_key", "left").withColumn("root", F.coalesce("root", "core_key"))
+    inner = roots.alias("x").join(roots.alias("y"), "root").where("x.node < y.node")
+    inner = inner.select("root", F.col("x.node").alias("core_a"), F.col("y.node").alias("core_b"))
+    return keyed, scored_pairs(inner).groupBy("root").agg(F.min("score").alias("worst"))
+
+
+def _internal_score() -> Column:
+    return F.when(F.col("cluster_size") > 2, F.coalesce("worst", F.lit(100.0))).otherwise(F.lit(100.0))
+
+
 def _queue(firsts: DataFrame, scored: DataFrame, auto: float) -> DataFrame:
     open_ = scored.where(F.col("score") < auto)
     open_ = open_.join(firsts.select(F.col("core_key").alias("core_a"), F.col("first_name").alias("name_a")), "core_a")

@@ -176,6 +176,13 @@ def test_components_and_reach_against_python(spark):
     assert graph.components(df.limit(0)).count() == 0
 
 
+def test_diagnostics_without_names(spark, names):
+    chained = spark.createDataFrame([(n,) for n in ("black", "black oak", "black white", "mill", "Mill", None)], "roaster string")
+    assert tuple(matching.cluster_diagnostics(chained, "roaster").first()) == (5, 2, 1)
+    assert tuple(matching.cluster_diagnostics(names, "roaster").first()) == tuple(matching.diagnostics(matching.crosswalk(names, "roaster")[0]).first())
+    assert tuple(matching.cluster_diagnostics(chained.limit(0), "roaster").first()) == (0, 0, 0)
+
+
 def test_streamed_names(spark, tmp_path):
     from tastegrid.streaming.increments import monthly_counts, watch_new_names
 
